@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathloom.operators.staging import BROADCAST_ROWS
+from pathloom.operators.staging import BROADCAST_ROWS, Stages
 
 
 def latest(df: DataFrame, keys: list[str], time_col: str, ties: list[str] | None = None) -> DataFrame:
@@ -21,7 +21,7 @@ def latest(df: DataFrame, keys: list[str], time_col: str, ties: list[str] | None
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-def latest_of_few_repeats(df: DataFrame, keys: list[str], time_col: str, ties: list[str] | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
+def latest_of_few_repeats(df: DataFrame, keys: list[str], time_col: str, ties: list[str] | None = None, stages: Stages | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``latest`` for tables in which few keys are repeated and rows are wide.
 
     Only the keys are shuffled to find the repeated ones.  Where these are at most ``limit``
@@ -29,15 +29,13 @@ def latest_of_few_repeats(df: DataFrame, keys: list[str], time_col: str, ties: l
     beyond that all rows go through ``latest``.  Rows with a null in a key are dropped.
     """
     whole = df.dropna(subset=keys)
-    # per map task the time column need not travel: a count settles which keys are repeated
-    repeated = whole.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*keys)
-    spark = df.sparkSession
-    found = repeated.limit(limit + 1).toPandas() if limit <= BROADCAST_ROWS else None
-    if found is None or len(found) > limit:
-        return latest(whole, keys, time_col, ties)
-    if found.empty:
+    stages = stages or Stages(df.sparkSession, "latest")
+    repeated = stages.put(whole.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*keys), "repeated")
+    n = repeated.count()
+    if n == 0:
         return whole
-    schema = repeated.schema
-    few = F.broadcast(spark.createDataFrame(found, schema=schema))
+    if n > limit:
+        return latest(whole, keys, time_col, ties)
+    few = F.broadcast(repeated)
     again = latest(whole.join(few, keys, "left_semi"), keys, time_col, ties)
     return whole.join(few, keys, "left_anti").select(*df.columns).unionByName(again.select(*df.columns))
