@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pathloom.functions.paths import clean_path
 from pathloom.llm.percentiles import percentiles
-from pathloom.llm.tables import latest_eval_tasks, plain_strategy, read, runs_with
+from pathloom.llm.tables import latest_eval_tasks, plain_strategy, read
+from pathloom.llm.topn import top_n
+from pathloom.operators.latest import latest_of_few_repeats
 from pathloom.operators.staging import Stages, broadcast_if_small
 
 CLEAN_SQL = """nullif(array_to_string(list_reduce(list_prepend([]::VARCHAR[], [[s] for s in string_split(replace(trim({p}, ' \t'), '\\', '/'), '/') if s not in ('', '.')]), lambda a, s: CASE WHEN s[1] = '..' THEN a[:len(a)-1] ELSE a || s END), '/'), '')"""
@@ -44,6 +47,33 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.join(F.broadcast(overall), ["strategy", "metric", "pct"]).where("value >= 2 * usual").select("strategy", "run_day", "metric", "pct")
 
 
+def p3_scored_paths(spark: SparkSession, sf_dir: str, stages: Stages) -> DataFrame:
+    """(g, id, score): task, clean path and confidence of all predicted writes that count."""
+    writes = read(spark, sf_dir, "predicted_writes").select("write_id", "task_id", "path", "confidence", "landed_at")
+    now = latest_of_few_repeats(writes, ["write_id"], "landed_at", ["confidence", "path", "task_id"], stages)
+    task = F.lower(F.btrim("task_id", F.lit(" \t\r\n")))
+    known = read(spark, sf_dir, "contracts").select(task.alias("g")).where("g IS NOT NULL").distinct()
+    scored = now.where("confidence BETWEEN 0 AND 1").select(task.alias("g"), clean_path(F.col("path")).alias("id"), F.col("confidence").alias("score"))
+    return scored.where("id IS NOT NULL").join(broadcast_if_small(known), "g", "left_semi")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best paths of each task: confidence descending, then path."""
+    return top_n(p3_scored_paths(spark, sf_dir, Stages(spark, "p3")), 5).select(F.col("g").alias("task_id"), F.col("id").alias("path"))
+
+
+_P3_SQL = f"""
+WITH latest AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY write_id ORDER BY landed_at DESC) rn FROM predicted_writes WHERE write_id IS NOT NULL) WHERE rn = 1
+), s AS (
+  SELECT lower(trim(task_id, ' \t\r\n')) AS task_id, {CLEAN_SQL.format(p='path')} AS path, max(confidence) AS c
+  FROM latest WHERE confidence BETWEEN 0 AND 1 AND NOT isnan(confidence) GROUP BY ALL
+), r AS (
+  SELECT task_id, path, row_number() OVER (PARTITION BY task_id ORDER BY c DESC, path) AS rn FROM s
+  WHERE path IS NOT NULL AND task_id IN (SELECT lower(trim(task_id, ' \t\r\n')) FROM contracts)
+)
+SELECT task_id, path FROM r WHERE rn <= 5"""
+
 _P2_SQL = f"""
 WITH latest AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, task_id ORDER BY ingested_at DESC) rn FROM eval_tasks WHERE run_id IS NOT NULL AND task_id IS NOT NULL) WHERE rn = 1
@@ -59,8 +89,10 @@ WITH latest AS (
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
+    "p3_found": p3_found,
 }
 SQL: dict[str, str] = {
+    "p3_found": _P3_SQL,
     "p2_found": _P2_SQL
     + """
 SELECT d.strategy, d.run_day, d.metric, 50 AS pct FROM d JOIN a USING (strategy, metric) WHERE d.n >= 15 AND d.q50 >= 2 * a.q50
