@@ -30,14 +30,7 @@ def clean_path(path: Column) -> Column:
 
 
 def clean_path_set(paths: Column) -> Column:
-    """The distinct clean paths of an array of paths, without nulls; null stays null."""
-    slow = F.filter(F.transform(paths, clean_path), lambda p: p.isNotNull())
-    # array_join drops nulls, so they are looked for apart
-    dirty = F.array_join(paths, "\n").rlike(UNCLEAN_LINES) | F.exists(paths, lambda p: p.isNull())
-    return F.array_distinct(F.when(F.size(paths) <= 0, paths).when(dirty, slow).otherwise(paths))
-
-
-def clean_path_rows(paths: Column) -> Column:
-    """As ``clean_path_set``, but a null may remain in it: cheaper, for callers that explode."""
-    slow = F.transform(paths, clean_path)
-    return F.array_distinct(F.when(F.array_join(paths, "\n").rlike(UNCLEAN_LINES), slow).otherwise(paths))
+    """The distinct clean paths of an array of paths, without nulls; a null array stays null."""
+    dirty = F.array_join(paths, "\n").rlike(UNCLEAN_LINES)
+    # array_except drops repeats and nulls without leaving generated code
+    return F.array_except(F.when(dirty, F.transform(paths, clean_path)).otherwise(paths), F.array(F.lit(None).cast("string")))
