@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.functions.paths import clean_path
+from pathloom.functions.paths import clean_path, clean_path_set
+from pathloom.llm.cooccurrence import cooccurrence
 from pathloom.llm.percentiles import percentiles
 from pathloom.llm.tables import latest_eval_tasks, plain_strategy, read
 from pathloom.llm.topn import top_n
@@ -62,6 +63,43 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_n(p3_scored_paths(spark, sf_dir, Stages(spark, "p3")), 5).select(F.col("g").alias("task_id"), F.col("id").alias("path"))
 
 
+def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of files changed or predicted together, per field and suite, with counts and lift."""
+    stages = Stages(spark, "p4")
+    tasks = latest_eval_tasks(spark, sf_dir, ["actual_changed_files", "predicted_write_files"], ["actual_changed_files", "predicted_write_files"], stages)
+    runs = read(spark, sf_dir, "runs").where("run_id IS NOT NULL").select("run_id", "suite_name").dropDuplicates(["run_id"])
+    of_suite = tasks.join(broadcast_if_small(runs), "run_id")
+    fields = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("paths")) for f in ("actual_changed_files", "predicted_write_files")])
+    long = of_suite.select("suite_name", F.explode(fields).alias("f")).select("suite_name", "f.field_name", clean_path_set(F.col("f.paths")).alias("paths"))
+    return cooccurrence(long, ["field_name", "suite_name"], "paths", 8, 4.0)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of files found together in at least 8 records and at least 4 times as often as chance."""
+    return p4_pairs(spark, sf_dir).select("field_name", "suite_name", F.col("item_a").alias("path_a"), F.col("item_b").alias("path_b"))
+
+
+_P4_SQL = f"""
+WITH latest AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, task_id ORDER BY ingested_at DESC) rn FROM eval_tasks WHERE run_id IS NOT NULL AND task_id IS NOT NULL) WHERE rn = 1
+), f AS (
+  SELECT r.suite_name, l.run_id, l.task_id, x.field_name, x.paths FROM latest l JOIN runs r USING (run_id),
+  LATERAL (SELECT 'actual_changed_files' AS field_name, l.actual_changed_files AS paths UNION ALL SELECT 'predicted_write_files', l.predicted_write_files) x
+), e AS (
+  SELECT DISTINCT field_name, suite_name, run_id, task_id, {CLEAN_SQL.format(p='p')} AS path FROM (SELECT * EXCLUDE (paths), unnest(paths) AS p FROM f) WHERE p IS NOT NULL
+), g AS (SELECT * FROM e WHERE path IS NOT NULL
+), n AS (SELECT field_name, suite_name, count(DISTINCT (run_id, task_id)) AS n FROM g GROUP BY ALL
+), c AS (SELECT field_name, suite_name, path, count(*) AS c FROM g GROUP BY ALL
+), ab AS (
+  SELECT a.field_name, a.suite_name, a.path AS path_a, b.path AS path_b, count(*) AS n_ab
+  FROM g a JOIN g b ON a.field_name = b.field_name AND a.suite_name = b.suite_name AND a.run_id = b.run_id AND a.task_id = b.task_id AND a.path < b.path
+  GROUP BY ALL HAVING count(*) >= 8
+)
+SELECT ab.field_name, ab.suite_name, ab.path_a, ab.path_b FROM ab JOIN n USING (field_name, suite_name)
+JOIN c ca ON ca.field_name = ab.field_name AND ca.suite_name = ab.suite_name AND ca.path = ab.path_a
+JOIN c cb ON cb.field_name = ab.field_name AND cb.suite_name = ab.suite_name AND cb.path = ab.path_b
+WHERE ab.n_ab * n.n >= 4 * ca.c * cb.c"""
+
 _P3_SQL = f"""
 WITH latest AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY write_id ORDER BY landed_at DESC) rn FROM predicted_writes WHERE write_id IS NOT NULL) WHERE rn = 1
@@ -90,9 +128,11 @@ WITH latest AS (
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p3_found": p3_found,
+    "p4_found": p4_found,
 }
 SQL: dict[str, str] = {
     "p3_found": _P3_SQL,
+    "p4_found": _P4_SQL,
     "p2_found": _P2_SQL
     + """
 SELECT d.strategy, d.run_day, d.metric, 50 AS pct FROM d JOIN a USING (strategy, metric) WHERE d.n >= 15 AND d.q50 >= 2 * a.q50
