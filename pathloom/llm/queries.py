@@ -12,13 +12,56 @@ from pathloom.llm.cooccurrence import cooccurrence
 from pathloom.llm.percentiles import percentiles
 from pathloom.llm.tables import latest_eval_tasks, plain_strategy, read
 from pathloom.llm.topn import top_n
-from pathloom.operators.latest import latest_of_few_repeats
+from pathloom.llm.setjoin import similar_records, similar_sets
+from pathloom.operators.latest import latest, latest_of_few_repeats
 from pathloom.operators.staging import Stages, broadcast_if_small
 
 CLEAN_SQL = """nullif(array_to_string(list_reduce(list_prepend([]::VARCHAR[], [[s] for s in string_split(replace(trim({p}, ' \t'), '\\', '/'), '/') if s not in ('', '.')]), lambda a, s: CASE WHEN s[1] = '..' THEN a[:len(a)-1] ELSE a || s END), '/'), '')"""
 PLAIN_SQL = "nullif(replace(lower(trim({c}, ' \t\r\n')), '-', '_'), '')"
 
 
+FIELDS_P1 = ("allowed_paths", "candidate_context_paths")
+
+
+def p1_similar(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    contracts = read(spark, sf_dir, "contracts").select("contract_id", "landed_at", *FIELDS_P1)
+    now = latest(contracts.where("contract_id IS NOT NULL"), ["contract_id"], "landed_at", list(FIELDS_P1))
+    fields = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("paths")) for f in FIELDS_P1])
+    long = now.select("contract_id", F.explode(fields).alias("f")).select("contract_id", "f.field_name", clean_path_set(F.col("f.paths")).alias("paths"))
+    return similar_sets(long, "contract_id", "paths", 0.6, space="field_name", min_size=3)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of contracts with at least 0.6 of their paths in common."""
+    pairs = similar_records(*p1_similar(spark, sf_dir))
+    return pairs.select(F.col("space").alias("field_name"), F.col("a").alias("contract_a"), F.col("b").alias("contract_b"))
+
+
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per contract and field: its class of equal lists and the number of similar classes."""
+    members, links = p1_similar(spark, sf_dir)
+    ends = links.select("space", F.explode(F.array("class_a", "class_b")).alias("class_id")).groupBy("space", "class_id").agg(F.count(F.lit(1)).alias("links"))
+    out = members.join(ends, ["space", "class_id"], "left")
+    return out.select(F.col("space").alias("field_name"), F.col("rid").alias("contract_id"), "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+_P1_SETS = f"""
+WITH latest AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY contract_id ORDER BY landed_at DESC) rn FROM contracts WHERE contract_id IS NOT NULL) WHERE rn = 1
+), f AS (
+  SELECT contract_id, 'allowed_paths' AS field_name, unnest(allowed_paths) AS p FROM latest
+  UNION ALL SELECT contract_id, 'candidate_context_paths', unnest(candidate_context_paths) FROM latest
+), e AS (SELECT DISTINCT field_name, contract_id, {CLEAN_SQL.format(p='p')} AS path FROM f WHERE p IS NOT NULL
+), g AS (SELECT * FROM e WHERE path IS NOT NULL
+), s AS (SELECT field_name, contract_id, count(*) AS n FROM g GROUP BY ALL HAVING count(*) >= 3
+), x AS (
+  SELECT a.field_name, a.contract_id AS contract_a, b.contract_id AS contract_b, count(*) AS c FROM g a JOIN g b USING (field_name, path) WHERE a.contract_id < b.contract_id GROUP BY ALL
+), pairs AS (
+  SELECT x.* FROM x JOIN s a ON a.field_name = x.field_name AND a.contract_id = x.contract_a JOIN s b ON b.field_name = x.field_name AND b.contract_id = x.contract_b
+  WHERE x.c * 10 >= 6 * (a.n + b.n - x.c)
+)"""
+
+
 def p2_values(spark: SparkSession, sf_dir: str, stages: Stages) -> DataFrame:
     """(strategy, run_day, metric, value) of all evaluated tasks with a run; null values stay."""
     tasks = latest_eval_tasks(spark, sf_dir, ["finished_at", "metrics.wall_time_seconds AS wall", "metrics.tokens_prompt AS tokens"], ["finished_at", "wall", "tokens"], stages)
@@ -126,11 +169,22 @@ WITH latest AS (
 )"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_classes": p1_classes,
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p4_found": p4_found,
 }
 SQL: dict[str, str] = {
+    "p1_found": _P1_SETS + " SELECT field_name, contract_a, contract_b FROM pairs",
+    "p1_classes": _P1_SETS
+    + """, sets AS (SELECT field_name, contract_id, list(path ORDER BY path) AS paths FROM g JOIN s USING (field_name, contract_id) GROUP BY ALL
+), cls AS (SELECT field_name, contract_id, min(contract_id) OVER (PARTITION BY field_name, paths) AS class_id FROM sets
+), links AS (
+  SELECT DISTINCT p.field_name, a.class_id AS x, b.class_id AS y FROM pairs p
+  JOIN cls a ON a.field_name = p.field_name AND a.contract_id = p.contract_a JOIN cls b ON b.field_name = p.field_name AND b.contract_id = p.contract_b WHERE a.class_id <> b.class_id
+), ends AS (SELECT field_name, x AS class_id, y FROM links UNION SELECT field_name, y, x FROM links)
+SELECT c.field_name, c.contract_id, c.class_id, (SELECT count(*) FROM ends e WHERE e.field_name = c.field_name AND e.class_id = c.class_id) AS links FROM cls c""",
     "p3_found": _P3_SQL,
     "p4_found": _P4_SQL,
     "p2_found": _P2_SQL
