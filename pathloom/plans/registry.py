@@ -6,5 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from pathloom.plans import documents
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p6_found": documents.p6_found,
+    "p6_objects": documents.p6_objects,
+}
 SQL: dict[str, str] = {}
