@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pathloom.plans import documents
+from pathloom.plans import documents, drift
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p5_found": drift.p5_found,
+    "p5_changes": drift.p5_changes,
+    "p5_unified": drift.p5_unified,
     "p6_found": documents.p6_found,
     "p6_objects": documents.p6_objects,
 }
