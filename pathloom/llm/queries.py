@@ -12,10 +12,21 @@ from pathloom.llm.cooccurrence import cooccurrence
 from pathloom.llm.percentiles import percentiles
 from pathloom.llm.tables import latest_eval_tasks, plain_strategy, read
 from pathloom.llm.topn import top_n
+from pathloom.llm.pii import find_personal, sanitise
 from pathloom.llm.setjoin import similar_records, similar_sets
 from pathloom.operators.latest import latest, latest_of_few_repeats
 from pathloom.operators.staging import Stages, broadcast_if_small
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal information in all documents."""
+    return find_personal(read(spark, sf_dir, "documents").where("doc_id IS NOT NULL"), "doc_id", "text").select("doc_id", "kind", "start_char")
+
+
+def p9_sanitised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with placeholders."""
+    return sanitise(read(spark, sf_dir, "documents").where("doc_id IS NOT NULL"), "doc_id", "text")
+
+
 CLEAN_SQL = """nullif(array_to_string(list_reduce(list_prepend([]::VARCHAR[], [[s] for s in string_split(replace(trim({p}, ' \t'), '\\', '/'), '/') if s not in ('', '.')]), lambda a, s: CASE WHEN s[1] = '..' THEN a[:len(a)-1] ELSE a || s END), '/'), '')"""
 PLAIN_SQL = "nullif(replace(lower(trim({c}, ' \t\r\n')), '-', '_'), '')"
 
@@ -174,6 +185,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p4_found": p4_found,
+    "p9_found": p9_found,
+    "p9_sanitised": p9_sanitised,
 }
 SQL: dict[str, str] = {
     "p1_found": _P1_SETS + " SELECT field_name, contract_a, contract_b FROM pairs",
