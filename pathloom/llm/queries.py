@@ -2,21 +2,84 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pathloom.functions.text import plain_name
 from pathloom.functions.paths import clean_path, clean_path_set
 from pathloom.llm.cooccurrence import cooccurrence
+from pathloom.llm.mixing import mix
+from pathloom.llm.packing import pack
 from pathloom.llm.percentiles import percentiles
 from pathloom.llm.tables import latest_eval_tasks, plain_strategy, read
+from pathloom.llm.tokens import with_tokens
 from pathloom.llm.topn import top_n
 from pathloom.llm.pii import find_personal, sanitise
 from pathloom.llm.setjoin import similar_records, similar_sets
 from pathloom.operators.latest import latest, latest_of_few_repeats
 from pathloom.operators.staging import Stages, broadcast_if_small
 
+def _sized(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Documents with their size in tokens instead of their text."""
+    docs = read(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select("doc_id", *columns, "text")
+    return Stages(spark, "sized").put(with_tokens(docs, "text"), "documents")
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    sized = _sized(spark, sf_dir)
+    plans, reports = [], []
+    # a table of a few capacities
+    for r in sorted(read(spark, sf_dir, "pack_capacities").where("capacity_tokens > 0").collect(), key=lambda r: (r["pack_name"], r["capacity_tokens"])):
+        rows, report = pack(sized, "doc_id", "n_tokens", r["capacity_tokens"])
+        plans.append(rows.select(F.lit(r["pack_name"]).alias("pack_name"), "*"))
+        reports.append(report.select(F.lit(r["pack_name"]).alias("pack_name"), "*"))
+    plan, report = plans[0], reports[0]
+    for p, q in zip(plans[1:], reports[1:]):
+        plan, report = plan.unionByName(p), report.unionByName(q)
+    return plan, report
+
+
+def p7_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents (or pieces of them) of every container, for each capacity."""
+    return _packed(spark, sf_dir)[0]
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers of each capacity are."""
+    return _packed(spark, sf_dir)[1]
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    sized = _sized(spark, sf_dir, "source").withColumn("source", plain_name(F.col("source")))
+    sized = Stages(spark, "mixed").put(sized, "documents")
+    mixes: dict[str, list[tuple[str, float, int]]] = {}
+    # a table of a few targets
+    for r in read(spark, sf_dir, "mix_targets").withColumn("source", plain_name(F.col("source"))).where("mix_name IS NOT NULL AND source IS NOT NULL").collect():
+        mixes.setdefault(r["mix_name"], []).append((r["source"], r["target_share"], r["max_repeats"]))
+    draws, reports = [], []
+    for name in sorted(mixes):
+        draw, report = mix(sized, "doc_id", "source", "n_tokens", mixes[name], seed=zlib.crc32(name.encode()))
+        draws.append(draw.select(F.lit(name).alias("mix_name"), "*"))
+        reports.append(report.select(F.lit(name).alias("mix_name"), "*"))
+    draw, report = draws[0], reports[0]
+    for d, r in zip(draws[1:], reports[1:]):
+        draw, report = draw.unionByName(d), report.unionByName(r)
+    return draw, report
+
+
+def p8_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of each mix, in order within its shards."""
+    return _mixed(spark, sf_dir)[0]
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual shares of each mix."""
+    return _mixed(spark, sf_dir)[1]
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal information in all documents."""
     return find_personal(read(spark, sf_dir, "documents").where("doc_id IS NOT NULL"), "doc_id", "text").select("doc_id", "kind", "start_char")
@@ -185,6 +248,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p4_found": p4_found,
+    "p7_plan": p7_plan,
+    "p7_report": p7_report,
+    "p8_draw": p8_draw,
+    "p8_report": p8_report,
     "p9_found": p9_found,
     "p9_sanitised": p9_sanitised,
 }
