@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pathloom.plans import documents, drift
+from pathloom.plans import contracts, documents, drift
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": drift.p5_found,
@@ -14,5 +14,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_unified": drift.p5_unified,
     "p6_found": documents.p6_found,
     "p6_objects": documents.p6_objects,
+    **contracts.QUERIES,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {**contracts.SQL}
