@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pathloom.plans import contracts, documents, drift
+from pathloom.plans import contracts, documents, drift, rankings, runs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": drift.p5_found,
@@ -15,5 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_found": documents.p6_found,
     "p6_objects": documents.p6_objects,
     **contracts.QUERIES,
+    **rankings.QUERIES,
+    **runs.QUERIES,
 }
-SQL: dict[str, str] = {**contracts.SQL}
+SQL: dict[str, str] = {**contracts.SQL, **rankings.SQL, **runs.SQL}
