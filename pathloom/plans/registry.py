@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pathloom.plans import contracts, documents, drift, rankings, runs
+from pathloom.plans import contracts, documents, drift, rankings, runs, sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": drift.p5_found,
@@ -17,5 +17,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **contracts.QUERIES,
     **rankings.QUERIES,
     **runs.QUERIES,
+    **sources.QUERIES,
 }
-SQL: dict[str, str] = {**contracts.SQL, **rankings.SQL, **runs.SQL}
+SQL: dict[str, str] = {**contracts.SQL, **rankings.SQL, **runs.SQL, **sources.SQL}
