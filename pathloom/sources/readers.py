@@ -16,7 +16,8 @@ LOCK = (
     "conflicts_detected array<struct<files:array<string>,between_tasks:array<string>,resolution:string>>"
 )
 RUN_TASK = "struct<task_id:string,status:string,predicted_write_files:array<string>,actual_changed_files:array<string>,out_of_bounds_files:array<string>,metrics:struct<tokens_prompt:bigint,wall_time_seconds:double>>"
-RUN = f"struct<strategy:string,backend:string,suite_name:string,execution_mode:string,evidence_kind:string,tasks:array<{RUN_TASK}>>"
+RUN_FIELDS = ("strategy", "backend", "suite_name", "execution_mode", "evidence_kind")
+RUN = f"struct<{','.join(f'{c}:string' for c in RUN_FIELDS)},tasks:array<{RUN_TASK}>>"
 #: Fixed value: folders and endings of a source scan.
 SKIPPED_FOLDERS = ("node_modules", "dist", "build", "target", "vendor", "__pycache__", "venv")
 CODE_ENDINGS = ("py", "ts", "tsx", "js", "jsx", "java")
@@ -64,9 +65,8 @@ def contract_faults(texts: DataFrame, key: str, text: str) -> DataFrame:
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
     """(file, strategy, run): run files, with those that hold several runs by strategy taken apart."""
-    d = spark.read.schema(f"{RUN[7:-1]}, strategies map<string,{RUN}>").json(path, multiLine=True).withColumn("file", F.col("_metadata.file_path"))
-    fields = [f.strip().split(":")[0] for f in ("strategy:", "backend:", "suite_name:", "execution_mode:", "evidence_kind:", "tasks:")]
-    alone = d.where("strategies IS NULL").select("file", "strategy", F.struct(*fields).alias("run"))
+    d = spark.read.schema(f"{', '.join(f'{c} string' for c in RUN_FIELDS)}, tasks array<{RUN_TASK}>, strategies map<string,{RUN}>").json(path, multiLine=True).withColumn("file", F.col("_metadata.file_path"))
+    alone = d.where("strategies IS NULL").select("file", "strategy", F.struct(*RUN_FIELDS, "tasks").alias("run"))
     several = d.where("strategies IS NOT NULL").select("file", F.explode("strategies").alias("name", "run")).select("file", F.coalesce("run.strategy", "name").alias("strategy"), "run")
     return alone.unionByName(several)
 
