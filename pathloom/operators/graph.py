@@ -18,7 +18,10 @@ def module_candidates(importer: Column, specifier: Column) -> Column:
     folder = F.regexp_replace(importer, r"(^|/)[^/]*$", "")
     bare = F.regexp_replace(specifier, "/+$", "")
     ends = F.array(*map(F.lit, MODULE_ENDINGS))
-    each = lambda base: F.transform(ends, lambda e: clean_path(F.concat(base, e)))
+
+    def each(base: Column) -> Column:
+        return F.transform(F.transform(F.array(base), clean_path), lambda b: F.transform(ends, lambda e: F.concat(b, e)))[0]
+
     rest = F.regexp_replace(bare, "^~/", "")
     return (
         F.when((specifier == "") | specifier.rlike("^(?:node:|@)"), F.array().cast("array<string>"))

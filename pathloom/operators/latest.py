@@ -18,7 +18,10 @@ def latest(df: DataFrame, keys: list[str], time_col: str, ties: list[str] | None
     """
     order = [F.col(time_col).desc_nulls_last(), *(F.col(c).desc_nulls_last() for c in ties or [])]
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    place = "_place"
+    while place in df.columns:
+        place += "_"
+    return df.withColumn(place, F.row_number().over(w)).where(F.col(place) == 1).drop(place)
 
 
 def latest_of_few_repeats(df: DataFrame, keys: list[str], time_col: str, ties: list[str] | None = None, stages: Stages | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:

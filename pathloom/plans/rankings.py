@@ -87,7 +87,7 @@ def fusion_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
 def random_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A baseline: for every 50th contract five of all paths, by a hash."""
     q = K.tasks(spark, sf_dir).where("contract_id % 50 = 0").select(F.col("contract_id").alias("qid"))
-    met = _corpus(spark, sf_dir).select("doc").join(F.broadcast(q)).withColumn("h", F.md5(F.concat_ws(":", F.col("qid").cast("string"), "doc")))
+    met = _corpus(spark, sf_dir).select("doc").repartition(spark.sparkContext.defaultParallelism).join(F.broadcast(q)).withColumn("h", F.md5(F.concat_ws(":", F.col("qid").cast("string"), "doc")))
     return R.top(met, ["qid"], [F.asc("h"), F.asc("doc")], 5).select("qid", "doc", "rank")
 
 
