@@ -57,7 +57,7 @@ _FILES = f"WITH writes AS ({K.SQL_WRITES}), files AS (SELECT DISTINCT path FROM
 _ENDS = "[" + ", ".join(f"'{e}'" for e in G.MODULE_ENDINGS) + "]"
 _TARGETS = rf"{_FILES}, s AS (SELECT DISTINCT regexp_extract(path, '^(.*)/[^/]+$', 1) || '/entry.ts' AS importer, './' || regexp_extract(path, '([^/.]+)(\.[^/]*)?$', 1) AS specifier FROM files WHERE regexp_matches(path, '^[^.*]+/[^/.*]+\.[a-z]+$')), c AS (SELECT importer, specifier, i AS place, replace(importer, '/entry.ts', '/') || specifier[3:] || ({_ENDS})[i] AS path FROM s, range(1, {len(G.MODULE_ENDINGS) + 1}) r(i)), t AS (SELECT importer, specifier, arg_min(path, place) AS target FROM c JOIN files USING (path) GROUP BY ALL)"
 QUERIES = {f.__name__: f for f in (import_targets, import_fan_in, code_symbols, identifier_counts, json_states, write_verdicts_by_window)}
-_PROPOSED = f"""p AS MATERIALIZED (SELECT rid, scored_at, lower(trim(task_id, ' \t\r\n')) AS task, nullif(escaped, '') AS c FROM (SELECT rid, scored_at, task_id, CASE WHEN NOT (SELECT coalesce(min(d) < 0, false) FROM (SELECT sum(CASE WHEN s = '..' THEN -1 ELSE 1 END) OVER (ORDER BY i) AS d FROM (SELECT unnest(segs) AS s, generate_subscripts(segs, 1) AS i))) THEN {K.SQL_CLEAN.replace("trim({p}, ' " + chr(9) + "')", "{p}").format(p="path")} END AS escaped
+_PROPOSED = f"""p AS MATERIALIZED (SELECT rid, scored_at, lower(trim(task_id, ' \t\r\n')) AS task, inside AS c FROM (SELECT rid, scored_at, task_id, CASE WHEN NOT (SELECT coalesce(min(d) < 0, false) FROM (SELECT sum(CASE WHEN s = '..' THEN -1 ELSE 1 END) OVER (ORDER BY i) AS d FROM (SELECT unnest(segs) AS s, generate_subscripts(segs, 1) AS i))) THEN coalesce({K.SQL_CLEAN.replace("trim({p}, ' " + chr(9) + "')", "{p}").format(p="path")}, '') END AS inside
   FROM (SELECT row_number() OVER () AS rid, scored_at, task_id, path, {K.SQL_SEGMENTS.format(p="path")} AS segs FROM predicted_writes WHERE scored_at IS NOT NULL AND path IS NOT NULL AND task_id IS NOT NULL)))"""
 SQL = {
     "write_verdicts_by_window": f"WITH tasks AS ({K.SQL_TASKS}), {_PROPOSED}, a AS (SELECT task, ltrim(pattern, './') AS p FROM (SELECT task, unnest(allowed_paths) AS pattern FROM tasks) WHERE pattern IS NOT NULL), h AS (SELECT x.rid, bool_or({K._GLOB}) AS hit FROM (SELECT rid, task, ltrim(c, './') AS c FROM p WHERE c IS NOT NULL) x JOIN a USING (task) GROUP BY x.rid) SELECT strftime(scored_at AT TIME ZONE 'UTC', '%Y-%m-%d') AS day, count(*) AS proposed, count(*) FILTER (NOT coalesce(hit, false)) AS blocked FROM p LEFT JOIN h USING (rid) GROUP BY ALL",
