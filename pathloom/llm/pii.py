@@ -28,8 +28,9 @@ from pathloom.operators.staging import Stages, broadcast_if_small
 #: Bits about mail addresses from which a word counts as a given name, and the share of the
 #: documents with the word in which it must be part of one.
 GIVEN_BITS, GIVEN_SHARE = 2.0, 0.03
-#: The share of a word's occurrences before a surname from which it is a given name.
-GIVEN_AHEAD = 0.5
+#: The share of a word's occurrences before another name from which it can be a given name, and
+#: before a known surname from which it is one.
+GIVEN_BEFORE, GIVEN_AHEAD = 0.3, 0.5
 #: The share of a surname's occurrences that stand with a given name; of all words with its
 #: ending; letters of an ending and words from which its share is used.
 SURNAME_SHARE, ENDING_SHARE, ENDING, ENDING_WORDS = 0.2, 0.4, 4, 5
@@ -103,7 +104,8 @@ def disclosure(scanned: DataFrame, stages: Stages) -> DataFrame:
     # given names stand before other words more than behind given ones; surnames the other way
     firsts = names.where("kind = 'full'").groupBy(F.col("given").alias("term")).agg(F.count(F.lit(1)).alias("before"))
     seconds = names.join(broadcast_if_small(telling.withColumnRenamed("term", "given")), "given").groupBy("term").agg(F.count(F.lit(1)).alias("behind"))
-    given = stages.put(telling.join(firsts, "term").join(seconds, "term", "left").where("before > coalesce(behind, 0)").select("term"), "given")
+    placed = telling.join(firsts, "term").join(words.select("term", "n"), "term").join(seconds, "term", "left")
+    given = stages.put(placed.where((F.col("before") > F.coalesce("behind", F.lit(0))) & (F.col("before") >= F.col("n") * GIVEN_BEFORE)).select("term"), "given")
     found = _surnames(words, names, given, stages)
     # words that mostly stand before a surname, of several, are given names too
     firm = found.where("surname").select("term")
@@ -131,7 +133,7 @@ def _surnames(words: DataFrame, names: DataFrame, given: DataFrame, stages: Stag
 
 def _resolve(spans):
     """Accepted names of one document without overlaps: full names first, then shorter shapes."""
-    order = {"full": 0, "short": 1, "titled": 2, "turned": 3}
+    order = {"full": 0, "short": 1, "turned": 2, "titled": 3}
     out: list[tuple[int, int]] = []
     for s in sorted(spans, key=lambda s: (order[s["kind"]], s["a"], -s["b"])):
         if all(s["b"] <= a or s["a"] >= b for a, b in out):

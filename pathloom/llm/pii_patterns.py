@@ -79,12 +79,14 @@ ADDRESS = regex.compile(
 
 _CAP_PART = r"\p{Lu}[\p{L}\p{M}]*(?:'\p{L}[\p{L}\p{M}]*)?"
 CAP = rf"{_CAP_PART}(?:-{_CAP_PART})*"
+_PARTICLE = rf"(?i:{PARTICLES})"
+NAME = rf"(?!{_PARTICLE}[^\p{{L}}]){CAP}"
 _INITIAL = r"\p{Lu}\.(?:-?\p{Lu}\.)?"
 _START, _END = r"(?<![\p{L}\p{M}\d_@\-+/\\#$%])(?<!\p{L}')", r"(?![\p{L}\p{M}\d_@/\\(]|['\-.+]\p{L}|=)"
-FULL = regex.compile(rf"{_START}({CAP})\s{{1,3}}(?:{_INITIAL}\s{{0,2}}){{0,2}}((?:{PARTICLES})\s)?({CAP}){_END}")
-SHORT = regex.compile(rf"{_START}{_INITIAL}\s{{0,2}}(?:{_INITIAL}\s{{0,2}})?((?:{PARTICLES})\s)?({CAP}){_END}")
-TURNED = regex.compile(rf"{_START}((?:{PARTICLES})\s)?({CAP}),\s{{1,2}}({CAP}|{_INITIAL})(?![\p{{L}}\d_@])")
-TITLED = regex.compile(rf"(?<![\p{{L}}\d_])(?:{TITLES})\.?\s{{1,2}}(?:(?:{TITLES})\.?\s{{1,2}}){{0,2}}((?:{PARTICLES})\s)?({CAP}){_END}")
+FULL = regex.compile(rf"{_START}({NAME})\s{{1,3}}(?:{_INITIAL}\s{{0,2}}){{0,2}}({_PARTICLE}\s)?({NAME}){_END}")
+SHORT = regex.compile(rf"{_START}{_INITIAL}\s{{0,2}}(?:{_INITIAL}\s{{0,2}})?({_PARTICLE}\s)?({NAME}){_END}")
+TURNED = regex.compile(rf"{_START}({_PARTICLE}\s)?({NAME}),\s{{1,2}}({NAME}|{_INITIAL})(?![\p{{L}}\d_@])")
+TITLED = regex.compile(rf"(?<![\p{{L}}\d_])(?:{TITLES})\.?\s{{1,2}}(?:(?:{TITLES})\.?\s{{1,2}}){{0,2}}({_PARTICLE}\s)?({NAME}){_END}")
 TOKEN = regex.compile(rf"{_START}({CAP})(?![\p{{L}}\d_])")
 _BY = regex.compile(r"\b[Gg]e\p{L}+(?:t|en)\s+$")
 _PARTS = regex.compile(r"[\p{L}]{3,}")
