@@ -11,6 +11,8 @@ from urllib.parse import urlparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pathloom.shipping import ship
+
 #: A side of a join is broadcast only when it is known to have at most this many rows.
 BROADCAST_ROWS = 500_000
 
@@ -39,6 +41,7 @@ class Stages:
     """
 
     def __init__(self, spark: SparkSession, what: str):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex[:12]}"
         self.n = 0
