@@ -6,7 +6,6 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,12 +31,31 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+_roots: list[tuple[SparkSession, str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@atexit.register
+def _tidy() -> None:
+    """Results that read stages end with the application, and so do the stages."""
+    for spark, root in _roots:
+        try:
+            _delete(spark, root)
+        except Exception:  # noqa: BLE001 - the application may be gone already
+            return
+
+
 class Stages:
     """Written intermediate tables of one run of an operator.
 
     ``put`` writes a table and reads it back, so that later plans start from files every
     executor can read; a lost executor costs only its own tasks.  ``drop`` deletes tables
-    which no later step reads.
+    which no later step reads, ``keep`` all others than those given.  What is left is deleted
+    when the application ends.
     """
 
     def __init__(self, spark: SparkSession, what: str):
@@ -45,6 +63,8 @@ class Stages:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex[:12]}"
         self.n = 0
+        self.live: list[DataFrame] = []
+        _roots.append((spark, self.root))
 
     def put(self, df: DataFrame, name: str = "t") -> DataFrame:
         path = f"{self.root}/{self.n:03d}-{name}"
@@ -53,21 +73,20 @@ class Stages:
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(schema).parquet(path)
         out._stage_path = path
+        self.live.append(out)
         return out
 
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
             path = getattr(df, "_stage_path", None)
-            if path is None:
-                continue
-            jvm = self.spark._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
-            df._stage_path = None
-
-    @staticmethod
-    def is_local(path: str) -> bool:
-        return urlparse(path).scheme in ("", "file")
+            if path is not None:
+                _delete(self.spark, path)
+                df._stage_path = None
+
+    def keep(self, *frames: DataFrame) -> None:
+        kept = {getattr(df, "_stage_path", None) for df in frames}
+        self.drop(*(df for df in self.live if getattr(df, "_stage_path", None) not in kept))
+        self.live = [df for df in self.live if df._stage_path]
 
 
 def broadcast_if_small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:

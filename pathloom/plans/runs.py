@@ -16,7 +16,7 @@ from pathloom.plans import contracts as K
 from pathloom.plans.tables import read
 
 _LISTS = {"predicted": "predicted_write_files", "actual": "actual_changed_files", "oob": "out_of_bounds_files"}
-RESAMPLES, BASELINE, PLANNED = 100, "naive_parallel", "acg_planned"
+RESAMPLES, BASELINE, ARM = 100, "naive_parallel", "single_agent"
 
 
 def evals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +127,7 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def paired_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _run_values(spark, sf_dir).where("suite_name IS NOT NULL")
-    return _rounded(M.paired_bootstrap(v, "suite_name", "strategy", "wall", PLANNED, BASELINE, RESAMPLES, 7), "mean", "low", "high", places=9)
+    return _rounded(M.paired_bootstrap(v, "suite_name", "strategy", "wall", ARM, BASELINE, RESAMPLES, 7), "mean", "low", "high", places=9)
 
 
 def baseline_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,13 +146,13 @@ def drift_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def best_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per suite the planned mean against the best of the others, and a row over all suites."""
+    """Per suite the mean of one strategy against the best of the others, and a row over all suites."""
     v = _run_values(spark, sf_dir).where("suite_name IS NOT NULL")
-    m = v.groupBy("suite_name").agg(F.avg(F.when(F.col("strategy") == PLANNED, F.col("wall"))).alias("planned"))
-    o = v.where(F.col("strategy") != PLANNED).groupBy("suite_name", "strategy").agg(F.avg("wall").alias("x")).groupBy("suite_name").agg(F.min("x").alias("best"))
-    both = m.join(o, "suite_name").where("planned IS NOT NULL").withColumn("delta", F.col("planned") - F.col("best"))
-    all_ = both.agg(F.lit("(mean)").alias("suite_name"), *[F.avg(c).alias(c) for c in ("planned", "best", "delta")])
-    return _rounded(both.unionByName(all_), "planned", "best", "delta", places=9)
+    m = v.groupBy("suite_name").agg(F.avg(F.when(F.col("strategy") == ARM, F.col("wall"))).alias("arm"))
+    o = v.where(F.col("strategy") != ARM).groupBy("suite_name", "strategy").agg(F.avg("wall").alias("x")).groupBy("suite_name").agg(F.min("x").alias("best"))
+    both = m.join(o, "suite_name").where("arm IS NOT NULL").withColumn("delta", F.col("arm") - F.col("best"))
+    all_ = both.agg(F.lit("(mean)").alias("suite_name"), *[F.avg(c).alias(c) for c in ("arm", "best", "delta")])
+    return _rounded(both.unionByName(all_), "arm", "best", "delta", places=9)
 
 
 def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,10 +206,10 @@ SQL = {
     "status_counts": f"{SQL_EVALS}, s AS (SELECT nullif(replace(lower(trim(r.strategy, ' \t\r\n')), '-', '_'), '') AS strategy, l.status FROM latest l JOIN runs r USING (run_id)), n AS (SELECT strategy, status, count(*) AS n FROM s WHERE strategy IS NOT NULL AND status IS NOT NULL GROUP BY ALL) SELECT a.strategy, b.status, coalesce(n.n, 0) AS n FROM (SELECT DISTINCT strategy FROM n) a CROSS JOIN (SELECT DISTINCT status FROM n) b LEFT JOIN n ON n.strategy = a.strategy AND n.status = b.status",
     "spread": f"{_VALUES} SELECT strategy, count(*) AS n, round(avg(wall), 9) AS mean, round(coalesce(stddev_samp(wall), 0), 9) AS stdev, round(stddev_pop(wall), 9) AS pstdev, round(quantile_cont(wall, 0.5), 9) AS median, round(quantile_cont(wall, 0.975), 9) AS p975, round(quantile_disc(wall, 0.95), 9) AS p95_nearest, CASE WHEN min(wall) = max(wall) THEN 'zero_variance_observation' ELSE 'stochastic' END AS variance FROM vals GROUP BY strategy",
     "bootstrap_ci": f"{_VALUES}, {_BOOT.format(k='strategy', v='wall', o='run_id', seed=0, R=RESAMPLES)} SELECT strategy, round(mean, 9) AS mean, round(low, 9) AS low, round(high, 9) AS high FROM n JOIN ci USING (strategy)",
-    "paired_bootstrap_ci": f"{_VALUES.replace('vals AS', 'vals0 AS')}, a AS (SELECT suite_name, avg(wall) AS va FROM vals0 WHERE strategy = '{PLANNED}' AND suite_name IS NOT NULL GROUP BY ALL), b AS (SELECT suite_name, avg(wall) AS vb FROM vals0 WHERE strategy = '{BASELINE}' AND suite_name IS NOT NULL GROUP BY ALL), vals AS (SELECT 1 AS g, suite_name, round(va - vb, 6) AS d FROM a JOIN b USING (suite_name)), {_BOOT.format(k='g', v='d', o='suite_name', seed=7, R=RESAMPLES).replace(' d AS (', ' dr AS (').replace('FROM d JOIN', 'FROM dr d JOIN')} SELECT round(mean, 9) AS mean, round(low, 9) AS low, round(high, 9) AS high FROM n JOIN ci USING (g)",
+    "paired_bootstrap_ci": f"{_VALUES.replace('vals AS', 'vals0 AS')}, a AS (SELECT suite_name, avg(wall) AS va FROM vals0 WHERE strategy = '{ARM}' AND suite_name IS NOT NULL GROUP BY ALL), b AS (SELECT suite_name, avg(wall) AS vb FROM vals0 WHERE strategy = '{BASELINE}' AND suite_name IS NOT NULL GROUP BY ALL), vals AS (SELECT 1 AS g, suite_name, round(va - vb, 6) AS d FROM a JOIN b USING (suite_name)), {_BOOT.format(k='g', v='d', o='suite_name', seed=7, R=RESAMPLES).replace(' d AS (', ' dr AS (').replace('FROM d JOIN', 'FROM dr d JOIN')} SELECT round(mean, 9) AS mean, round(low, 9) AS low, round(high, 9) AS high FROM n JOIN ci USING (g)",
     "baseline_deltas": f"{_VALUES}, m AS (SELECT suite_name, strategy, avg(wall) AS mean FROM vals WHERE suite_name IS NOT NULL GROUP BY ALL) SELECT m.suite_name, m.strategy, round(m.mean, 9) AS mean, round(b.mean, 9) AS baseline, round(m.mean - b.mean, 9) AS delta FROM m LEFT JOIN m b ON b.suite_name = m.suite_name AND b.strategy = '{BASELINE}'",
     "drift_guard": f"{_VALUES}, m AS (SELECT suite_name, strategy, avg(wall) AS mean FROM vals WHERE suite_name IS NOT NULL GROUP BY ALL), e AS (SELECT strategy, avg(wall) AS expected FROM vals GROUP BY ALL) SELECT suite_name, strategy, round(mean, 9) AS mean, round(expected, 9) AS expected, round(abs(mean - expected) / expected, 9) AS drift FROM m JOIN e USING (strategy) WHERE abs(mean - expected) / expected > 0.3",
-    "best_baseline": f"{_VALUES}, m AS (SELECT suite_name, avg(wall) FILTER (strategy = '{PLANNED}') AS planned FROM vals WHERE suite_name IS NOT NULL GROUP BY ALL), o AS (SELECT suite_name, min(x) AS best FROM (SELECT suite_name, strategy, avg(wall) AS x FROM vals WHERE suite_name IS NOT NULL AND strategy <> '{PLANNED}' GROUP BY ALL) GROUP BY ALL), b AS (SELECT suite_name, planned, best, planned - best AS delta FROM m JOIN o USING (suite_name) WHERE planned IS NOT NULL) SELECT suite_name, round(planned, 9) AS planned, round(best, 9) AS best, round(delta, 9) AS delta FROM b UNION ALL SELECT '(mean)', round(avg(planned), 9), round(avg(best), 9), round(avg(delta), 9) FROM b",
+    "best_baseline": f"{_VALUES}, m AS (SELECT suite_name, avg(wall) FILTER (strategy = '{ARM}') AS arm FROM vals WHERE suite_name IS NOT NULL GROUP BY ALL), o AS (SELECT suite_name, min(x) AS best FROM (SELECT suite_name, strategy, avg(wall) AS x FROM vals WHERE suite_name IS NOT NULL AND strategy <> '{ARM}' GROUP BY ALL) GROUP BY ALL), b AS (SELECT suite_name, arm, best, arm - best AS delta FROM m JOIN o USING (suite_name) WHERE arm IS NOT NULL) SELECT suite_name, round(arm, 9) AS arm, round(best, 9) AS best, round(delta, 9) AS delta FROM b UNION ALL SELECT '(mean)', round(avg(arm), 9), round(avg(best), 9), round(avg(delta), 9) FROM b",
     "interval_overlap": f"{SQL_EVALS}, t AS (SELECT * FROM ev WHERE started_at IS NOT NULL AND finished_at IS NOT NULL AND started_at <= finished_at) SELECT a.run_id, count(*) AS together, count(*) FILTER (len(list_intersect(a.actual, b.actual)) > 0) AS conflicting FROM t a JOIN t b ON a.run_id = b.run_id AND a.task_id < b.task_id AND a.started_at <= b.finished_at AND b.started_at <= a.finished_at GROUP BY a.run_id",
     "outcome_flips": f"{SQL_EVALS}, r AS (SELECT * FROM latest WHERE started_at IS NOT NULL), e AS (SELECT task_id, arg_min(status, (started_at, run_id)) FILTER (status IS NOT NULL) AS b, arg_max(status, (started_at, run_id)) FILTER (status IS NOT NULL) AS a FROM r GROUP BY task_id) SELECT b = 'completed' AS before, a = 'completed' AS after, count(*) AS tasks FROM e GROUP BY ALL",
     "perf_rollup": f"{SQL_EVALS}, s AS (SELECT strategy, count(*) AS tasks, sum(tokens)::BIGINT AS tokens, round(sum((epoch_us(finished_at) - epoch_us(started_at)) / 1e6), 3) AS seconds, round(max((epoch_us(finished_at) - epoch_us(started_at)) / 1e6), 3) AS longest FROM ev WHERE started_at IS NOT NULL AND finished_at >= started_at GROUP BY strategy) SELECT *, round(tokens / nullif(seconds, 0), 3) AS per_second FROM s",

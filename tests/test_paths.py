@@ -1,4 +1,5 @@
 import fnmatch
+import re
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -54,20 +55,15 @@ def test_write_path(spark):
 
 
 def covered(pattern, path):
-    c, g = path.lstrip("./"), pattern.lstrip("./")
-    if g.endswith("/**"):
-        return c == g[:-3] or c.startswith(g[:-3] + "/")
-    if "**" in g:
-        at = 0
-        for i, piece in enumerate(g.split("**")):
-            piece = piece.strip("/")
-            if piece:
-                found = c.find(piece, at)
-                if found < 0 or (i == 0 and found):
-                    return False
-                at = found + len(piece)
-        return True
-    return fnmatch.fnmatchcase(c, g)
+    """The same by regular expressions."""
+    p, c = pattern.lstrip("./"), path.lstrip("./")
+    if p.endswith("/**"):
+        return f"{c}/".startswith(p[:-2])
+    if "**" in p:
+        literal = [re.escape(piece.strip("/")) for piece in p.split("**")]
+        start = "^" if literal[0] else ""
+        return bool(re.search(start + ".*".join(x for x in literal if x), c))
+    return fnmatch.fnmatchcase(c, p)
 
 
 PATTERNS = ["src/**", "**/a.py", "src/**/b.ts", "a*.py", "a?.py", "[abc].py", "[!a].py", "[id]/page.tsx", ".env.example", "src/a+b(1).ts", "x[y", "**", "src/*/c.ts", "./src/a.ts", "a|b"]
