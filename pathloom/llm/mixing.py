@@ -117,6 +117,7 @@ def mix(documents: DataFrame, doc_id: str, source: str, size: str, targets: list
     drawn = drawn.join(cut, ["source", "copy_no", "block", "doc_id"], "left_anti")
     place = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed + 2), "doc_id", "copy_no"), "doc_id", "copy_no")
     drawn = stages.put(drawn.withColumn("position", F.row_number().over(place) - 1).select("shard", "position", "doc_id", "source", "copy_no", "n_tokens"), "draw")
+    stages.keep(drawn)
     wanted = spark.createDataFrame([(s, float(w), float(goal[s][0]) if s in goal else 0.0) for s, w, _ in targets], "source string, target_share double, share double")
     got = drawn.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("documents"), (F.max("copy_no") + 1).alias("max_copies"))
     all_ = got.agg(F.sum("tokens").alias("all"))

@@ -73,7 +73,10 @@ def order_statistics(rows: DataFrame, targets: DataFrame, stages: Stages, points
         # intervals of one group are the same or don't meet, so a row is in one at most
         spans = broadcast_if_small(going.select("g", "lo", "hi").distinct(), unresolved)
         if n in (1, 2):  # most rows are out by now; later passes read the rest only
+            wider = active
             active = stages.put(active.join(spans, "g").where(inside_span).select("g", "x"), "active")
+            if n == 2:
+                stages.drop(wider)
         cell = _cell(F.col("x"), F.col("lo"), F.col("hi"), points, n % 2 == 1)
         cells = active.join(spans, "g").where(inside_span).groupBy("g", "lo", "hi", cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo2"), F.max("x").alias("hi2"))
         cells = cells.withColumn("below", F.sum("n").over(Window.partitionBy("g", "lo", "hi").orderBy("cell")) - F.col("n"))
@@ -104,6 +107,7 @@ def percentiles(rows: DataFrame, keys: list[str], value: str, pcts: list[float],
     at = wanted.withColumn("pos", F.col("pct") / 100 * (F.col("n") - 1)).withColumn("k0", F.floor("pos")).withColumn("k1", F.ceil("pos"))
     targets = at.select("g", F.explode(F.array_distinct(F.array("k0", "k1"))).alias("rank"), "lo", "hi").distinct()
     found = stages.put(order_statistics(base, targets, stages, points, tolerance), "found")
+    stages.keep(groups, found)
     lower = found.select("g", F.col("rank").alias("k0"), F.col("value").alias("v0"))
     upper = found.select("g", F.col("rank").alias("k1"), F.col("value").alias("v1"))
     out = at.join(lower, ["g", "k0"]).join(upper, ["g", "k1"])

@@ -170,7 +170,9 @@ def find_personal(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     """
     stages = Stages(documents.sparkSession, "pii")
     scanned = stages.put(scan(documents, doc_id, text), "scan")
-    return _locate(scanned, disclosure(scanned, stages)).select("doc_id", "kind", F.col("a").alias("start_char"), F.col("b").alias("end_char"))
+    terms = stages.put(disclosure(scanned, stages), "terms")
+    stages.keep(scanned, terms)
+    return _locate(scanned, terms).select("doc_id", "kind", F.col("a").alias("start_char"), F.col("b").alias("end_char"))
 
 
 def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +200,8 @@ def sanitise(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     """
     stages = Stages(documents.sparkSession, "pii")
     scanned = stages.put(scan(documents, doc_id, text, tokens=True), "scan")
-    terms = disclosure(scanned, stages)
+    terms = stages.put(disclosure(scanned, stages), "terms")
+    stages.keep(scanned, terms)
     found = _locate(scanned, terms)
     alone = scanned.where("rec = 'token'").select("doc_id", "a", "b", "term").join(broadcast_if_small(terms.select("term")), "term", "left_semi")
     spans = found.unionByName(alone.select("doc_id", F.lit("name_part").alias("kind"), "a", "b"))

@@ -161,7 +161,9 @@ def similar_sets(left: DataFrame, rid: str, items: str, threshold: float, right:
         "total",
         (F.col("common") / F.col("total")).alias("similarity"),
     )
-    return members, stages.put(links, "links")
+    links = stages.put(links, "links")
+    stages.keep(keyed, classes, links)
+    return members, links
 
 
 def similar_records(members: DataFrame, links: DataFrame) -> DataFrame:
