@@ -33,6 +33,9 @@ _FLAT = {ord(c): "-" for c in "‐‑‒–—−﹣-"} | {ord(c): " " for c in
 _AT = r"(?:@|[ ]?[\[({<][ ]?(?:at|AT|@|arroba)[ ]?[\])}>][ ]?|[ ]@[ ]|[ ](?:AT|at)[ ](?=[\p{L}\d-]+[ ](?:dot|DOT)[ ]))"
 _DOT = r"(?:\.|[ ]?[\[({<][ ]?(?:dot|DOT|punkt|point|punto|\.)[ ]?[\])}>][ ]?|[ ](?:dot|DOT)[ ])"
 EMAIL = regex.compile(rf"(?<![\p{{L}}\p{{M}}\d._%+\-@/])([\p{{L}}\d](?:[\p{{L}}\p{{M}}\d._%+\-]*[\p{{L}}\p{{M}}\d_%+\-])?){_AT}((?:[\p{{L}}\d](?:[\p{{L}}\d\-]*[\p{{L}}\d])?{_DOT})+)(\p{{L}}{{2,24}})(?![\p{{L}}\d\-@]|\.\d)")
+# what every address has somewhere, and how far it reaches from there
+MAIL_SIGN = regex.compile(r"@|[\[({<][ ]?(?:at|AT|arroba)[ ]?[\])}>]|[ ](?:at|AT)[ ][\p{L}\d-]+[ ](?:dot|DOT)[ ]")
+MAIL_REACH = (80, 200)
 _NOT_MAIL = regex.compile(rf"^(?:{UNIT_ENDS})$", regex.I)
 
 _SEP = r"[\s.\-]?"
@@ -62,7 +65,11 @@ _NUMBER = (
     r"|\d{2}\.?\d{3}\.?\d{3}[\- ]?\p{Lu}|[XYZ][\- ]?\d{7}[\- ]?\p{Lu}"
     r"|\p{Lu}{1,2}\d{6,8}|\p{Lu}\d{2}\p{Lu}{2}\d{5}|\d{2}\s?\d{6}\s?\p{Lu}\s?\d{3})(?![\p{L}\d]|-\d)"
 )
-IDENTITY = regex.compile(rf"(?<![\p{{L}}\d])(?:{ID_LABELS}){_LABEL_GAP}\b({_NUMBER})", regex.I)
+# numbers are found first and their labels looked for before them: labels are tried at few places
+ID_NUMBER = regex.compile(rf"(?<![\p{{L}}\d])({_NUMBER})", regex.I)
+ID_LABEL = regex.compile(rf"(?<![\p{{L}}\d])(?:{ID_LABELS}){_LABEL_GAP}$", regex.I)
+#: Characters before a number in which its label is looked for.
+LABEL_REACH = 80
 BARE_IDENTITY = regex.compile(r"(?<![\p{L}\d.\-/+])(\d{3}-\d{2}-\d{4}|QQ\s?\d{2}\s?\d{2}\s?\d{2}\s?[A-D])(?![\p{L}\d]|[.\-/]\d)")
 
 _WORD = r"\p{Lu}[\p{L}\p{M}']*(?:-\p{L}[\p{L}\p{M}']+)*"
@@ -85,9 +92,10 @@ _INITIAL = r"\p{Lu}\.(?:-?\p{Lu}\.)?"
 _START, _END = r"(?<![\p{L}\p{M}\d_@\-+/\\#$%])(?<!\p{L}')", r"(?![\p{L}\p{M}\d_@/\\(]|['\-.+]\p{L}|=)"
 FULL = regex.compile(rf"{_START}({NAME})\s{{1,3}}(?:{_INITIAL}\s{{0,2}}){{0,2}}({_PARTICLE}\s)?({NAME}){_END}")
 SHORT = regex.compile(rf"{_START}{_INITIAL}\s{{0,2}}(?:{_INITIAL}\s{{0,2}})?({_PARTICLE}\s)?({NAME}){_END}")
-TURNED = regex.compile(rf"{_START}({_PARTICLE}\s)?({NAME}),\s{{1,2}}({NAME}|{_INITIAL})(?![\p{{L}}\d_@])")
+TURNED = regex.compile(rf"{_START}({NAME}),\s{{1,2}}({NAME}|{_INITIAL})(?![\p{{L}}\d_@])")
 TITLED = regex.compile(rf"(?<![\p{{L}}\d_])(?:{TITLES})\.?\s{{1,2}}(?:(?:{TITLES})\.?\s{{1,2}}){{0,2}}({_PARTICLE}\s)?({NAME}){_END}")
 TOKEN = regex.compile(rf"{_START}({CAP})(?![\p{{L}}\d_])")
+_BEFORE = regex.compile(rf"{_START}({_PARTICLE})\s$")
 _BY = regex.compile(r"\b[Gg]e\p{L}+(?:t|en)\s+$")
 _PARTS = regex.compile(r"[\p{L}]{3,}")
 
@@ -128,8 +136,12 @@ def pattern_spans(text: str) -> list[Span]:
         out.append((kind, a, b))
         taken.append((a, b))
 
-    if "@" in text or " at" in text or "(at" in text.lower() or "[at" in text.lower() or "arroba" in text:
-        for m in EMAIL.finditer(text):
+    done = 0
+    for sign in MAIL_SIGN.finditer(text):
+        for m in EMAIL.finditer(text, max(done, sign.start() - MAIL_REACH[0]), sign.end() + MAIL_REACH[1]):
+            if m.start() > sign.start() or m.start() < done:
+                continue
+            done = m.end()
             if _NOT_MAIL.match(m[3]):
                 continue
             if m[1].lower() in ("git", "hg", "svn") and text[m.end() : m.end() + 1] in (":", "/"):
@@ -137,8 +149,8 @@ def pattern_spans(text: str) -> list[Span]:
             if text[m.end() : m.end() + 1] == ":" and regex.match(r":[\w~.-]+/", text[m.end() :][:80]):
                 continue
             take("email", m.start(), m.end())
-    for m in IDENTITY.finditer(text):
-        if free(m.start(1), m.end(1)) and any(c.isdigit() for c in m[1]):
+    for m in ID_NUMBER.finditer(text, overlapped=True):
+        if free(m.start(1), m.end(1)) and any(c.isdigit() for c in m[1]) and ID_LABEL.search(text, max(0, m.start() - LABEL_REACH), m.start()):
             take("identity_number", m.start(1), m.end(1))
     for m in BARE_IDENTITY.finditer(text):
         if free(m.start(1), m.end(1)):
@@ -181,8 +193,9 @@ def name_candidates(text: str, spans: list[Span]) -> list[Candidate]:
     for m in TURNED.finditer(text, overlapped=True):
         if free(m.start(), m.end()):
             # "von" behind a German participle is no part of the name
-            a = m.start(2) if m[1] and _BY.search(text, max(0, m.start() - 24), m.start()) else m.start()
-            out.append(("turned", a, m.end(), "" if "." in m[3] else m[3].lower(), m[2].lower()))
+            own = _BEFORE.search(text, max(0, m.start() - 12), m.start())
+            a = own.start() if own and free(own.start(), m.end()) and not _BY.search(text, max(0, own.start() - 24), own.start()) else m.start()
+            out.append(("turned", a, m.end(), "" if "." in m[2] else m[2].lower(), m[1].lower()))
     for m in TITLED.finditer(text, overlapped=True):
         if free(m.start(), m.end()):
             out.append(("titled", m.start(2) if not m[1] else m.start(1), m.end(), "", m[2].lower()))
