@@ -12,12 +12,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": drift.p5_found,
     "p5_changes": drift.p5_changes,
     "p5_unified": drift.p5_unified,
-    "p6_found": documents.p6_found,
-    "p6_objects": documents.p6_objects,
+    **documents.QUERIES,
     **contracts.QUERIES,
     **rankings.QUERIES,
     **runs.QUERIES,
     **sources.QUERIES,
     **more.QUERIES,
 }
-SQL: dict[str, str] = {**contracts.SQL, **rankings.SQL, **runs.SQL, **sources.SQL, **more.SQL}
+SQL: dict[str, str] = {**documents.SQL, **contracts.SQL, **rankings.SQL, **runs.SQL, **sources.SQL, **more.SQL}
