@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathloom.operators.staging import Stages, broadcast_if_small
+
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b, 0 where b is 0 or null."""
@@ -62,28 +64,34 @@ def spread(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     )
 
 
-def _draw(seed: int, parts: list[Column], n: Column) -> Column:
-    """A number below n from a hash of ``parts``: the same in every engine that has md5."""
+def _draw(seed: int, parts: list[Column]) -> Column:
+    """A number below 2 ** 32 from a hash of ``parts``: the same in every engine that has md5."""
     text = F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % n
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
 def bootstrap(df: DataFrame, keys: list[str], value: str, order: list[str], resamples: int, seed: int = 0) -> DataFrame:
     """(keys, mean, low, high): the 95 % interval of the mean over resamples of each group.
 
-    Values are numbered by (value, ``order``), so results don't depend on partitions.  The draws are
-    rows: ``resamples`` times the values; they are averaged where they are made up to the group.
+    Values are numbered by (value, ``order``), so results don't depend on partitions.  Tasks share the
+    resamples; a draw is hashed once for all groups and averaged where it is made.  Values stand one
+    group after the other, so that a draw finds its value by one number.
     """
+    spark = df.sparkSession
+    stages = Stages(spark, "bootstrap")
     w = Window.partitionBy(*keys).orderBy(value, *order)
-    v = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("value"), (F.row_number().over(w) - 1).alias("slot"))
+    v = stages.put(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("value"), (F.row_number().over(w) - 1).cast("long").alias("slot")), "values")
     size = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"), F.avg("value").alias("mean"))
-    slots = v.join(size, keys).select(*keys, "slot", "size", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"))
-    drawn = slots.select(*keys, "resample", _draw(seed, [F.col("resample"), F.col("slot")], F.col("size")).alias("slot"))
-    # equal draws are counted before they meet their values
-    times = drawn.groupBy(*keys, "resample", "slot").agg(F.count(F.lit(1)).alias("times"))
-    means = times.join(v, [*keys, "slot"]).groupBy(*keys, "resample").agg((F.sum(F.col("value") * F.col("times")) / F.sum("times")).alias("m"))
-    ends = means.groupBy(*keys).agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
-    return size.join(ends, keys).select(*keys, "mean", "low", "high")
+    size = stages.put(size.withColumn("first", F.sum("size").over(Window.orderBy(*keys)) - F.col("size")), "sizes")
+    placed = stages.put(v.join(size, keys).select("slot", "first", "size", (F.col("first") + F.col("slot")).alias("place"), "value"), "placed")
+    n = placed.count()
+    slots, groups, values = (broadcast_if_small(x, n) for x in (placed.select("slot").distinct(), placed.select("slot", "first", "size"), placed.select("place", "value")))
+    numbers = spark.range(0, resamples, 1, 4 * spark.sparkContext.defaultParallelism).withColumnRenamed("id", "resample")
+    drawn = numbers.crossJoin(slots).select("resample", "slot", _draw(seed, [F.col("resample"), F.col("slot")]).alias("draw"))
+    picked = drawn.join(groups, "slot").select("resample", "first", (F.col("first") + F.col("draw") % F.col("size")).alias("place"))
+    means = picked.join(values, "place").groupBy("first", "resample").agg(F.avg("value").alias("m"))
+    ends = means.groupBy("first").agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
+    return size.join(ends, "first").select(*keys, "mean", "low", "high")
 
 
 def paired_bootstrap(df: DataFrame, unit: str, arm: str, value: str, a: str, b: str, resamples: int, seed: int = 0) -> DataFrame:

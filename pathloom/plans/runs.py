@@ -16,7 +16,7 @@ from pathloom.plans import contracts as K
 from pathloom.plans.tables import read
 
 _LISTS = {"predicted": "predicted_write_files", "actual": "actual_changed_files", "oob": "out_of_bounds_files"}
-RESAMPLES, BASELINE, ARM = 100, "naive_parallel", "single_agent"
+RESAMPLES, BASELINE, ARM = 10_000, "naive_parallel", "single_agent"
 
 
 def evals(spark: SparkSession, sf_dir: str) -> DataFrame:

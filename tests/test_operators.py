@@ -1,3 +1,5 @@
+from hashlib import md5
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +9,7 @@ from pathloom.operators import metrics as M
 from pathloom.operators import ranking as R
 from pathloom.operators.intervals import overlapping
 from pathloom.operators.latest import latest, latest_of_few_repeats
+from pathloom.plans import runs
 
 
 def rows(df, *cols):
@@ -109,6 +112,22 @@ def test_bootstrap(spark):
     assert sorted(one) == sorted(two) and all(r.low <= r["mean"] <= r.high for r in one)
 
 
+def by_hand(values, resamples, seed):
+    """The interval of the mean of sorted values, with the draws of the SQL."""
+    n = len(values)
+    m = sorted(sum(values[int(md5(f"{seed}:{r}:{s}".encode()).hexdigest()[:8], 16) % n] for s in range(n)) / n for r in range(resamples))
+    at = [(resamples - 1) * p for p in (0.025, 0.975)]
+    return [m[int(x)] + (m[int(x) + 1] - m[int(x)]) * (x - int(x)) for x in at]
+
+
+def test_bootstrap_ci_draws_as_often_as_the_reference(spark, sf):
+    values = {}
+    for r in runs._run_values(spark, sf).collect():
+        values.setdefault(r.strategy, []).append(r.wall)
+    got = {r.strategy: [r.low, r.high] for r in runs.bootstrap_ci(spark, sf).collect()}
+    assert got == {k: pytest.approx(by_hand(sorted(v), 10_000, 0), abs=1e-6) for k, v in values.items()}
+
+
 def test_bm25(spark):
     docs = spark.createDataFrame([("a/billing.ts", ["billing"]), ("b/billing.ts", ["billing"]), ("c", ["nav"]), ("d", ["x"]), ("e", ["y"])], "doc string, tokens array<string>")
     q = spark.createDataFrame([(1, ["billing"]), (2, ["navigation"]), (3, [])], "qid int, tokens array<string>").withColumn("tokens", R.with_synonyms(F.col("tokens")))
