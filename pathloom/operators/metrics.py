@@ -102,6 +102,16 @@ def paired_bootstrap(df: DataFrame, unit: str, arm: str, value: str, a: str, b:
     return bootstrap(diffs, ["g"], "d", [unit], resamples, seed).drop("g")
 
 
+def paired_bootstraps(df: DataFrame, unit: str, arm: str, value: str, resamples: int, seed: int = 0) -> DataFrame:
+    """(a, b, mean, low, high) of value(a) - value(b) for every two arms, a before b by name, over the
+    units that have both; a pair that shares fewer than two units has no row."""
+    means = Stages(df.sparkSession, "arms").put(df.groupBy(unit, arm).agg(F.avg(value).alias("x")), "means")
+    one, two = (means.select(unit, F.col(arm).alias(k), F.col("x").alias(f"v{k}")) for k in "ab")
+    diffs = one.join(two, unit).where("a < b").select("a", "b", unit, F.round(F.col("va") - F.col("vb"), 6).alias("d"))
+    shared = F.count(F.lit(1)).over(Window.partitionBy("a", "b"))
+    return bootstrap(diffs.withColumn("shared", shared).where("shared >= 2"), ["a", "b"], "d", [unit], resamples, seed)
+
+
 def deltas(df: DataFrame, keys: list[str], arm: str, baseline: str, value: str) -> DataFrame:
     """Each row with its difference to the baseline arm of the same keys; null where there is none."""
     base = df.where(F.col(arm) == baseline).select(*keys, F.col(value).alias("baseline"))

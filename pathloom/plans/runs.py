@@ -16,7 +16,7 @@ from pathloom.plans import contracts as K
 from pathloom.plans.tables import read
 
 _LISTS = {"predicted": "predicted_write_files", "actual": "actual_changed_files", "oob": "out_of_bounds_files"}
-RESAMPLES, BASELINE, ARM = 10_000, "naive_parallel", "single_agent"
+RESAMPLES, BASELINE, ARM = 10_000, "naive_parallel", "acg_planned"
 
 
 def evals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,6 +130,12 @@ def paired_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(M.paired_bootstrap(v, "suite_name", "strategy", "wall", ARM, BASELINE, RESAMPLES, 7), "mean", "low", "high", places=9)
 
 
+def paired_bootstrap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """paired_bootstrap_ci for every pair of strategies."""
+    v = _run_values(spark, sf_dir).where("suite_name IS NOT NULL")
+    return _rounded(M.paired_bootstraps(v, "suite_name", "strategy", "wall", RESAMPLES, 7), "mean", "low", "high", places=9)
+
+
 def baseline_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _run_values(spark, sf_dir).where("suite_name IS NOT NULL").groupBy("suite_name", "strategy").agg(F.avg("wall").alias("mean"))
     m = Stages(spark, "means").put(m, "means")
@@ -194,7 +200,7 @@ _COUNTS = f"{SQL_EVALS}, c AS (SELECT run_id, task_id, strategy, len(list_inters
 _PRF = "coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1"
 _R = "round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1"
 _BOOT = "n AS (SELECT {k}, count(*) AS size, avg({v}) AS mean FROM vals GROUP BY ALL), s AS (SELECT {k}, {v} AS value, row_number() OVER (PARTITION BY {k} ORDER BY {v}, {o}) - 1 AS slot FROM vals), d AS (SELECT s.{k}, r.resample, ('0x' || md5('{seed}:' || r.resample || ':' || s.slot)[1:8])::BIGINT % n.size AS slot FROM s JOIN n USING ({k}), range({R}) r(resample)), m AS (SELECT d.{k}, d.resample, avg(s.value) AS m FROM d JOIN s USING ({k}, slot) GROUP BY ALL), ci AS (SELECT {k}, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY ALL)"
-QUERIES = {f.__name__: f for f in (prf_per_task, prf_micro, prf_macro, task_accuracy, recall_at_5, out_of_bounds, run_summary, status_counts, spread, bootstrap_ci, paired_bootstrap_ci, baseline_deltas, drift_guard, best_baseline, interval_overlap, outcome_flips, perf_rollup, replay_state)}
+QUERIES = {f.__name__: f for f in (prf_per_task, prf_micro, prf_macro, task_accuracy, recall_at_5, out_of_bounds, run_summary, status_counts, spread, bootstrap_ci, paired_bootstrap_ci, paired_bootstrap_pairs, baseline_deltas, drift_guard, best_baseline, interval_overlap, outcome_flips, perf_rollup, replay_state)}
 SQL = {
     "prf_per_task": f"{_COUNTS} SELECT run_id, task_id, tp, fp, fn, {_R} FROM (SELECT *, {_PRF} FROM c)",
     "prf_micro": f"{_COUNTS} SELECT strategy, tp, fp, fn, {_R} FROM (SELECT *, {_PRF} FROM (SELECT strategy, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM c GROUP BY ALL))",
@@ -207,6 +213,7 @@ SQL = {
     "spread": f"{_VALUES} SELECT strategy, count(*) AS n, round(avg(wall), 9) AS mean, round(coalesce(stddev_samp(wall), 0), 9) AS stdev, round(stddev_pop(wall), 9) AS pstdev, round(quantile_cont(wall, 0.5), 9) AS median, round(quantile_cont(wall, 0.975), 9) AS p975, round(quantile_disc(wall, 0.95), 9) AS p95_nearest, CASE WHEN min(wall) = max(wall) THEN 'zero_variance_observation' ELSE 'stochastic' END AS variance FROM vals GROUP BY strategy",
     "bootstrap_ci": f"{_VALUES}, {_BOOT.format(k='strategy', v='wall', o='run_id', seed=0, R=RESAMPLES)} SELECT strategy, round(mean, 9) AS mean, round(low, 9) AS low, round(high, 9) AS high FROM n JOIN ci USING (strategy)",
     "paired_bootstrap_ci": f"{_VALUES.replace('vals AS', 'vals0 AS')}, a AS (SELECT suite_name, avg(wall) AS va FROM vals0 WHERE strategy = '{ARM}' AND suite_name IS NOT NULL GROUP BY ALL), b AS (SELECT suite_name, avg(wall) AS vb FROM vals0 WHERE strategy = '{BASELINE}' AND suite_name IS NOT NULL GROUP BY ALL), vals AS (SELECT 1 AS g, suite_name, round(va - vb, 6) AS d FROM a JOIN b USING (suite_name)), {_BOOT.format(k='g', v='d', o='suite_name', seed=7, R=RESAMPLES).replace(' d AS (', ' dr AS (').replace('FROM d JOIN', 'FROM dr d JOIN')} SELECT round(mean, 9) AS mean, round(low, 9) AS low, round(high, 9) AS high FROM n JOIN ci USING (g)",
+    "paired_bootstrap_pairs": f"{_VALUES.replace('vals AS', 'vals0 AS')}, means AS (SELECT suite_name, strategy, avg(wall) AS x FROM vals0 WHERE suite_name IS NOT NULL GROUP BY ALL), vals AS (SELECT {{'a': p.strategy, 'b': q.strategy}} AS g, suite_name, round(p.x - q.x, 6) AS d FROM means p JOIN means q USING (suite_name) WHERE p.strategy < q.strategy QUALIFY count(*) OVER (PARTITION BY p.strategy, q.strategy) >= 2), {_BOOT.format(k='g', v='d', o='suite_name', seed=7, R=RESAMPLES).replace(' d AS (', ' dr AS (').replace('FROM d JOIN', 'FROM dr d JOIN')} SELECT g.a AS a, g.b AS b, round(mean, 9) AS mean, round(low, 9) AS low, round(high, 9) AS high FROM n JOIN ci USING (g)",
     "baseline_deltas": f"{_VALUES}, m AS (SELECT suite_name, strategy, avg(wall) AS mean FROM vals WHERE suite_name IS NOT NULL GROUP BY ALL) SELECT m.suite_name, m.strategy, round(m.mean, 9) AS mean, round(b.mean, 9) AS baseline, round(m.mean - b.mean, 9) AS delta FROM m LEFT JOIN m b ON b.suite_name = m.suite_name AND b.strategy = '{BASELINE}'",
     "drift_guard": f"{_VALUES}, m AS (SELECT suite_name, strategy, avg(wall) AS mean FROM vals WHERE suite_name IS NOT NULL GROUP BY ALL), e AS (SELECT strategy, avg(wall) AS expected FROM vals GROUP BY ALL) SELECT suite_name, strategy, round(mean, 9) AS mean, round(expected, 9) AS expected, round(abs(mean - expected) / expected, 9) AS drift FROM m JOIN e USING (strategy) WHERE abs(mean - expected) / expected > 0.3",
     "best_baseline": f"{_VALUES}, m AS (SELECT suite_name, avg(wall) FILTER (strategy = '{ARM}') AS arm FROM vals WHERE suite_name IS NOT NULL GROUP BY ALL), o AS (SELECT suite_name, min(x) AS best FROM (SELECT suite_name, strategy, avg(wall) AS x FROM vals WHERE suite_name IS NOT NULL AND strategy <> '{ARM}' GROUP BY ALL) GROUP BY ALL), b AS (SELECT suite_name, arm, best, arm - best AS delta FROM m JOIN o USING (suite_name) WHERE arm IS NOT NULL) SELECT suite_name, round(arm, 9) AS arm, round(best, 9) AS best, round(delta, 9) AS delta FROM b UNION ALL SELECT '(mean)', round(avg(arm), 9), round(avg(best), 9), round(avg(delta), 9) FROM b",

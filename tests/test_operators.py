@@ -128,6 +128,18 @@ def test_bootstrap_ci_draws_as_often_as_the_reference(spark, sf):
     assert got == {k: pytest.approx(by_hand(sorted(v), 10_000, 0), abs=1e-6) for k, v in values.items()}
 
 
+def test_every_pair_of_strategies_has_an_interval(spark, sf):
+    got = {(r.a, r.b): r for r in runs.paired_bootstrap_pairs(spark, sf).collect()}
+    means = {(r.suite_name, r.strategy): r.x for r in runs._run_values(spark, sf).where("suite_name IS NOT NULL").groupBy("suite_name", "strategy").agg(F.avg("wall").alias("x")).collect()}
+    suites, strategies = ({k[i] for k in means} for i in (0, 1))
+    diffs = {(a, b): sorted(round(means[s, a] - means[s, b], 6) for s in suites if (s, a) in means and (s, b) in means) for a in strategies for b in strategies if a < b}
+    wanted = {k: d for k, d in diffs.items() if len(d) >= 2}
+    assert len(strategies) == 6 and wanted and got.keys() == wanted.keys()
+    for k, d in wanted.items():
+        assert [got[k].low, got[k].high] == pytest.approx(by_hand(d, 10_000, 7), abs=1e-5)
+    assert runs.ARM == "acg_planned"
+
+
 def test_bm25(spark):
     docs = spark.createDataFrame([("a/billing.ts", ["billing"]), ("b/billing.ts", ["billing"]), ("c", ["nav"]), ("d", ["x"]), ("e", ["y"])], "doc string, tokens array<string>")
     q = spark.createDataFrame([(1, ["billing"]), (2, ["navigation"]), (3, [])], "qid int, tokens array<string>").withColumn("tokens", R.with_synonyms(F.col("tokens")))
