@@ -39,7 +39,41 @@ def clean_path_set(paths: Column) -> Column:
 # ---- fixed values that results depend on --------------------------------------------------------
 
 TEST_FOLDERS = ("__tests__", "cypress", "e2e", "spec", "test", "tests")
-TEST_ENDINGS = tuple(f".{kind}.{ext}" for kind in ("cy", "spec", "test") for ext in ("js", "jsx", "ts", "tsx"))
+TEST_ENDINGS = (".cy.js", ".cy.jsx", ".cy.ts", ".cy.tsx", ".spec.js", ".spec.jsx", ".spec.ts", ".spec.tsx", ".test.js", ".test.jsx", ".test.ts", ".test.tsx")
+CONFIG_NAMES = (
+    ".env.example",
+    "build.gradle",
+    "build.gradle.kts",
+    "cypress.config.js",
+    "cypress.config.ts",
+    "drizzle.config.js",
+    "drizzle.config.ts",
+    "jest.config.js",
+    "jest.config.mjs",
+    "jest.config.ts",
+    "next.config.js",
+    "next.config.mjs",
+    "next.config.ts",
+    "package.json",
+    "playwright.config.js",
+    "playwright.config.mjs",
+    "playwright.config.ts",
+    "pom.xml",
+    "postcss.config.cjs",
+    "postcss.config.js",
+    "pyproject.toml",
+    "settings.gradle",
+    "tailwind.config.js",
+    "tailwind.config.ts",
+    "tsconfig.json",
+    "vite.config.js",
+    "vite.config.mjs",
+    "vite.config.ts",
+    "vitest.config.js",
+    "vitest.config.mjs",
+    "vitest.config.ts",
+)
+SCHEMA_FILES = ("prisma/schema.prisma", "drizzle/schema.ts", "schema.prisma")
 CONFIG_ENDINGS = (".config.cjs", ".config.js", ".config.mjs", ".config.ts", ".schema.json", ".prisma")
 #: Broadening: least confidence, and least depth of ordinary paths and of those in test folders.
 BROADEN_CONFIDENCE, BROADEN_DEPTH, BROADEN_TEST_DEPTH = 0.7, 4, 3
@@ -133,11 +167,11 @@ def mentions_test(path: Column) -> Column:
     return path.rlike(r"^(?:test|tests|__tests__|cypress|e2e)/") | F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, ("test", "tests", "__tests__")))) | path.rlike(r"\.(?:test|spec|test-d)\.")
 
 
-def is_config(path: Column, names: tuple[str, ...]) -> Column:
-    """A configuration file: by name (``names``), ``.env*``, a schema file or a configuration ending."""
+def is_config(path: Column, names: tuple[str, ...] = CONFIG_NAMES) -> Column:
+    """A configuration file: by name, ``.env*``, a schema file or a configuration ending."""
     name = F.element_at(F.split(path, "/"), -1)
     endings = "(?:" + "|".join(e.replace(".", r"\.") for e in CONFIG_ENDINGS) + ")$"
-    return name.isin(*names) | F.startswith(name, F.lit(".env")) | path.isin("prisma/schema.prisma", "drizzle/schema.ts", "schema.prisma") | name.rlike(endings)
+    return name.isin(*names) | F.startswith(name, F.lit(".env")) | path.isin(*SCHEMA_FILES) | name.rlike(endings)
 
 
 def route(path: Column) -> Column:

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathloom.operators.staging import Stages
+from pathloom.operators.staging import Stages, broadcast_if_small
 
 #: Edges of a plan up to which it is levelled in one task.
 PLAN_EDGES = 200_000
@@ -33,12 +33,23 @@ def conflict_edges(writes: DataFrame) -> DataFrame:
     """(plan, predecessor, successor, files): of two tasks that share paths the one with fewer
     conflicts goes first, then the one with the lower index (``task`` is the index)."""
     pairs = sharing_pairs(writes)
-    degrees = conflict_degrees(pairs)
+    degrees = conflict_degrees(pairs.select("plan", "i", "j"))
     di = degrees.select("plan", F.col("task").alias("i"), F.col("degree").alias("di"))
     dj = degrees.select("plan", F.col("task").alias("j"), F.col("degree").alias("dj"))
     first = F.col("di") <= F.col("dj")  # i < j decides equal degrees
-    both = pairs.join(di, ["plan", "i"]).join(dj, ["plan", "j"])
-    return both.select("plan", F.when(first, F.col("i")).otherwise(F.col("j")).alias("predecessor"), F.when(first, F.col("j")).otherwise(F.col("i")).alias("successor"), "files")
+    turned = pairs.select("plan", "i", "j").join(di, ["plan", "i"]).join(dj, ["plan", "j"]).select("plan", "i", "j", first.alias("first"))
+    both = turned.join(pairs, ["plan", "i", "j"])
+    return both.select("plan", F.when(F.col("first"), F.col("i")).otherwise(F.col("j")).alias("predecessor"), F.when(F.col("first"), F.col("j")).otherwise(F.col("i")).alias("successor"), "files")
+
+
+def conflict_order(writes: DataFrame) -> DataFrame:
+    """``conflict_edges`` as (plan, src, dst), for plans that don't ask which files are shared."""
+    w = writes.dropna(subset=["plan", "task", "path"]).select("plan", "task", "path").distinct()
+    pairs = w.withColumnRenamed("task", "i").join(w.withColumnRenamed("task", "j"), ["plan", "path"]).where("i < j").select("plan", "i", "j").distinct()
+    degrees = conflict_degrees(pairs)
+    both = pairs.join(degrees.select("plan", F.col("task").alias("i"), F.col("degree").alias("di")), ["plan", "i"]).join(degrees.select("plan", F.col("task").alias("j"), F.col("degree").alias("dj")), ["plan", "j"])
+    first = F.col("di") <= F.col("dj")
+    return both.select("plan", F.when(first, F.col("i")).otherwise(F.col("j")).alias("src"), F.when(first, F.col("j")).otherwise(F.col("i")).alias("dst"))
 
 
 def peers(writes: DataFrame) -> DataFrame:
@@ -62,52 +73,62 @@ def burden(writes: DataFrame) -> DataFrame:
     )
 
 
+def split_plans(edges: DataFrame, stages: Stages) -> tuple[DataFrame, DataFrame | None]:
+    """Distinct edges of plans that one task can hold, and those of larger plans (None: there are none)."""
+    e = stages.put(edges.distinct(), "edges")
+    large = stages.put(e.groupBy("plan").count().where(F.col("count") > PLAN_EDGES).select("plan"), "large")
+    if large.isEmpty():
+        return e, None
+    few = broadcast_if_small(large)
+    return e.join(few, "plan", "left_anti"), e.join(few, "plan", "left_semi")
+
+
 def _levels_of_plan(edges: pd.DataFrame) -> pd.DataFrame:
     from collections import defaultdict
 
     out, waiting = defaultdict(list), defaultdict(int)
     nodes = set(edges["src"]) | set(edges["dst"].dropna())
-    for s, d in zip(edges["src"], edges["dst"]):
+    for s, d, w in zip(edges["src"], edges["dst"], edges["weight"]):
         if d == d and d is not None:
-            out[s].append(d)
+            out[s].append((d, int(w)))
             waiting[d] += 1
     level = {n: 0 for n in nodes if not waiting[n]}
     queue = list(level)
     for n in queue:
-        for d in out[n]:
-            level[d] = max(level.get(d, 0), level[n] + 1)
+        for d, w in out[n]:
+            level[d] = max(level.get(d, 0), level[n] + w)
             waiting[d] -= 1
             if not waiting[d]:
                 queue.append(d)
     if len(queue) < len(nodes):
         raise ValueError(f"cycle among the tasks of plan {edges['plan'].iloc[0]!r}")
-    return pd.DataFrame({"plan": edges["plan"].iloc[0], "task": [int(n) for n in queue], "level": [level[n] for n in queue]})
+    kept = [n for n in queue if n >= 0]
+    return pd.DataFrame({"plan": edges["plan"].iloc[0], "task": [int(n) for n in kept], "level": [level[n] for n in kept]})
 
 
 def plan_levels(tasks: DataFrame, edges: DataFrame) -> DataFrame:
     """(plan, task, level): the length of the longest path of predecessors.
 
-    ``tasks``: plan, task (long).  ``edges``: plan, src, dst between them.  A plan of up to
+    ``tasks``: plan, task (long, 0 or more).  ``edges``: plan, src, dst and, if they don't all count
+    1, weight; nodes below 0 are barriers between tasks and have no rows.  A plan of up to
     PLAN_EDGES edges is levelled in one task; larger ones by relaxing all their edges in
     parallel until nothing changes.  A cycle is an error.
     """
     stages = Stages(tasks.sparkSession, "levels")
-    e = stages.put(edges.select("plan", "src", "dst").distinct(), "edges")
-    large = e.groupBy("plan").count().where(F.col("count") > PLAN_EDGES).select("plan")
-    large = stages.put(large, "large")
-    has_large = not large.isEmpty()
-    every = tasks.select("plan", F.col("task").alias("src"), F.lit(None).cast("long").alias("dst")).distinct()
-    small = every.unionByName(e)
-    if has_large:
-        small = small.join(F.broadcast(large), "plan", "left_anti")
-    out = small.groupBy("plan").applyInPandas(_levels_of_plan, f"plan {dict(tasks.dtypes)['plan']}, task long, level int")
-    if not has_large:
+    weight = F.col("weight") if "weight" in edges.columns else F.lit(1)
+    small, large = split_plans(edges.select("plan", "src", "dst", weight.cast("int").alias("weight")), stages)
+    every = tasks.select("plan", F.col("task").alias("src"), F.lit(None).cast("long").alias("dst"), F.lit(0).alias("weight")).distinct()
+    if large is not None:
+        many = broadcast_if_small(large.select("plan").distinct())
+        lone, every = every.join(many, "plan", "left_semi"), every.join(many, "plan", "left_anti")
+    out = every.unionByName(small).groupBy("plan").applyInPandas(_levels_of_plan, f"plan {dict(tasks.dtypes)['plan']}, task long, level int")
+    if large is None:
         return out
-    level = stages.put(tasks.join(F.broadcast(large), "plan", "left_semi").select("plan", "task", F.lit(0).alias("level")), "level")
-    rest = e.join(F.broadcast(large), "plan", "left_semi")
+    nodes = lone.select("plan", F.col("src").alias("task")).union(large.select("plan", "src")).union(large.select("plan", "dst")).distinct()
+    level = stages.put(nodes.withColumn("level", F.lit(0)), "level")
     most = level.count()
     for _ in range(most + 1):
-        pushed = rest.join(level, (rest["plan"] == level["plan"]) & (rest["src"] == level["task"])).select(rest["plan"], F.col("dst").alias("task"), (F.col("level") + 1).alias("up")).groupBy("plan", "task").agg(F.max("up").alias("up"))
+        pushed = large.join(level, (large["plan"] == level["plan"]) & (large["src"] == level["task"])).select(large["plan"], F.col("dst").alias("task"), (F.col("level") + F.col("weight")).alias("up")).groupBy("plan", "task").agg(F.max("up").alias("up"))
         new = level.join(pushed, ["plan", "task"], "left").select("plan", "task", F.greatest("level", F.coalesce("up", F.lit(0))).alias("level"), (F.coalesce("up", F.lit(0)) > F.col("level")).alias("moved"))
         new = stages.put(new, "level")
         stages.drop(level)
@@ -115,7 +136,7 @@ def plan_levels(tasks: DataFrame, edges: DataFrame) -> DataFrame:
         level = new.drop("moved")
         level._stage_path = new._stage_path
         if not moved:
-            return out.unionByName(level.withColumn("level", F.col("level").cast("int")))
+            return out.unionByName(level.where("task >= 0").withColumn("level", F.col("level").cast("int")))
     raise ValueError("cycle among the tasks of a large plan")
 
 

@@ -9,6 +9,8 @@ from pathloom.functions.paths import clean_path
 
 #: Fixed value: what may be missing at the end of a module name, in the order of trial.
 MODULE_ENDINGS = ("", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".py", ".java", ".d.ts", "/index.ts", "/index.tsx", "/index.js", "/__init__.py")
+#: Fixed value: what a type stub may describe, X standing for its name.
+STUB_SOURCES = ("lib/X.js", "lib/X.ts", "src/X.js", "src/X.ts", "X.js", "X.ts")
 
 
 def module_candidates(importer: Column, specifier: Column) -> Column:
@@ -51,7 +53,7 @@ def type_links(files: DataFrame) -> DataFrame:
     p = files.select("path").distinct()
     stem = F.regexp_extract("path", r"^types/(.*)\.d\.ts$", 1)
     t = p.where(stem != "").select(F.col("path").alias("src"), stem.alias("stem"))
-    near = [F.concat(F.lit(folder), F.col("stem"), F.lit(end)) for folder in ("lib/", "src/", "") for end in (".js", ".ts")]
+    near = [F.replace(F.lit(x), F.lit("X"), F.col("stem")) for x in STUB_SOURCES]
     one = t.select("src", F.explode(F.array(*near)).alias("path")).join(p, "path").select("src", F.col("path").alias("dst"))
     return one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
@@ -72,8 +74,3 @@ def symbol_edges(references: DataFrame, defined: DataFrame, links: DataFrame) ->
     named = references.withColumnRenamed("path", "src").join(d, "symbol").where("src <> dst").select("src", "dst", F.col("n").cast("double").alias("weight"))
     both = named.unionByName(links.where("src <> dst").select("src", "dst", F.lit(2.0).alias("weight")))
     return both.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
-
-
-def without(files: DataFrame, *columns: str) -> DataFrame:
-    """Files with some of their lists emptied, to measure what these are worth."""
-    return files.withColumns({c: F.array().cast("array<string>") for c in columns})

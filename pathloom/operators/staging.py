@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import atexit
-import shutil
+import os
+import re
 import tempfile
 import uuid
 
@@ -12,12 +13,23 @@ from pyspark.sql import functions as F
 
 from pathloom.shipping import ship
 
-#: A side of a join is broadcast only when it is known to have at most this many rows.
-BROADCAST_ROWS = 500_000
+#: A side of a join is broadcast only when it is known to have at most this many rows and bytes.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 16 << 20
+#: Bytes of a value of each type of fixed size, with what a row of a hash table needs besides.
+_WIDTHS = {"boolean": 8, "tinyint": 8, "smallint": 8, "int": 8, "bigint": 8, "float": 8, "double": 8, "date": 8, "timestamp": 8}
+_ROW_BYTES = 16
+
+
+_roots: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one of its own where that is unset."""
+    """The folder of ``spark.checkpoint.dir``.
+
+    Where that is unset and all tasks run on this machine (master ``local``, as in tests) it is a
+    temporary folder of the application's own; on a cluster, whose executors could not read
+    that, it is an error.
+    """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -25,13 +37,12 @@ def shared_folder(spark: SparkSession) -> str:
     set_already = sc._jsc.sc().getCheckpointDir()
     if set_already.isDefined():
         return set_already.get().rstrip("/")
-    own = tempfile.mkdtemp(prefix="pathloom-checkpoint-")
-    atexit.register(shutil.rmtree, own, True)
-    sc.setCheckpointDir(f"file://{own}")
-    return f"file://{own}"
-
-
-_roots: list[tuple[SparkSession, str]] = []
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    own = f"file://{tempfile.gettempdir()}/pathloom-{sc.applicationId}-{os.getpid()}"
+    sc.setCheckpointDir(own)
+    _roots.append((spark, own))
+    return own
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -89,12 +100,22 @@ class Stages:
         self.live = [df for df in self.live if df._stage_path]
 
 
-def broadcast_if_small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``limit`` rows, else unchanged.
+def broadcast_if_small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``limit`` rows of ``most_bytes`` together, else
+    unchanged.
 
-    ``rows`` is its exact count where the caller knows it; otherwise it is counted, reading
-    no more than ``limit`` + 1 rows of it.
+    ``rows`` is its exact count where the caller knows it.  What isn't known is measured, reading
+    no more than ``limit`` + 1 rows: the count, and the bytes of texts and nested values; values
+    of fixed size count with their size.
     """
-    if rows is None:
-        rows = df.limit(limit + 1).count()
-    return F.broadcast(df) if rows <= limit else df
+    loose = [c for c, kind in df.dtypes if kind not in _WIDTHS]
+    fixed = _ROW_BYTES + sum(_WIDTHS.get(kind, 0) for _, kind in df.dtypes)
+    if rows is not None and (rows > limit or rows * fixed > most_bytes):
+        return df
+    measured = 0
+    if rows is None or loose:
+        text = [F.octet_length(c) if kind == "string" else F.octet_length(F.to_json(F.struct(c))) for c, kind in df.dtypes if c in loose]
+        total = sum((F.coalesce(x, F.lit(0)) + 8 for x in text), F.lit(0))
+        got = df.limit(limit + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(total), F.lit(0)).alias("b")).first()
+        rows, measured = got["n"], got["b"]
+    return F.broadcast(df) if rows <= limit and rows * fixed + measured <= most_bytes else df

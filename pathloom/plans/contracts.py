@@ -11,7 +11,6 @@ from pathloom.operators.latest import latest
 from pathloom.operators.staging import Stages
 from pathloom.plans.tables import read
 
-CONFIG_NAMES = ("package.json", "pom.xml", "pyproject.toml", "tsconfig.json")  # the names that occur in the tables
 ROOT = "/work/checkout"
 
 # SQL of the pieces that several queries share
@@ -79,8 +78,7 @@ def naive_vs_planned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def plan_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = plan_writes(spark, sf_dir)
-    edges = C.conflict_edges(w).select("plan", F.col("predecessor").alias("src"), F.col("successor").alias("dst"))
-    return C.plan_levels(w.select("plan", "task").distinct(), edges)
+    return C.plan_levels(w.select("plan", "task").distinct(), C.conflict_order(w))
 
 
 def plan_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,7 +148,7 @@ def broaden_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 def path_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = writes(spark, sf_dir).select("path").distinct()
     c = F.col("path")
-    return p.select("path", P.in_test_folder(c).alias("in_test_folder"), P.mentions_test(c).alias("mentions_test"), P.is_config(c, CONFIG_NAMES).alias("is_config"))
+    return p.select("path", P.in_test_folder(c).alias("in_test_folder"), P.mentions_test(c).alias("mentions_test"), P.is_config(c).alias("is_config"))
 
 
 def route_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,6 +185,6 @@ SQL = {
     "glob_kinds": f"WITH tasks AS ({SQL_TASKS}), p AS (SELECT pattern, ltrim(pattern, './') AS p FROM (SELECT unnest(allowed_paths) AS pattern FROM tasks) WHERE pattern IS NOT NULL) SELECT CASE WHEN ends_with(p, '/**') THEN 'subtree' WHEN contains(p, '**') THEN 'ordered' WHEN regexp_matches(p, '[*?\\[]') THEN 'wildcard' ELSE 'exact' END AS kind, count(*) AS n, count(DISTINCT pattern) AS patterns FROM p GROUP BY ALL",
     "plain_glob_verdicts": f"{_ASKED} SELECT contract_id, path, bool_or(coalesce(path = pattern OR (regexp_matches(pattern, '[*?\\[]') AND path GLOB pattern), false)) AS allowed FROM asked GROUP BY ALL",
     "broaden_paths": f"WITH writes AS ({SQL_WRITES}) SELECT task, array_to_string(list(DISTINCT pattern ORDER BY pattern), '|') AS patterns FROM (SELECT task, CASE WHEN confidence >= 0.7 AND len(string_split(path, '/')) >= CASE WHEN regexp_matches(path, '^(tests/|__tests__/|cypress/|e2e/|spec/)') THEN 3 ELSE 4 END THEN regexp_replace(path, '/[^/]*$', '/**') ELSE path END AS pattern FROM writes) GROUP BY task",
-    "path_flags": rf"WITH writes AS ({SQL_WRITES}) SELECT path, len(list_intersect(string_split(path, '/'), ['__tests__', 'cypress', 'e2e', 'spec', 'test', 'tests'])) > 0 OR starts_with(path, 'src/test/java/') OR regexp_matches(path, '\.(cy|spec|test)\.(js|jsx|ts|tsx)$') AS in_test_folder, regexp_matches(path, '^(test|tests|__tests__|cypress|e2e)/') OR len(list_intersect(string_split(path, '/'), ['test', 'tests', '__tests__'])) > 0 OR regexp_matches(path, '\.(test|spec|test-d)\.') AS mentions_test, string_split(path, '/')[-1] IN {CONFIG_NAMES} OR starts_with(string_split(path, '/')[-1], '.env') OR regexp_matches(path, '(\.config\.(cjs|js|mjs|ts)|\.schema\.json|\.prisma)$') AS is_config FROM (SELECT DISTINCT path FROM writes)",
+    "path_flags": rf"WITH writes AS ({SQL_WRITES}) SELECT path, len(list_intersect(string_split(path, '/'), ['__tests__', 'cypress', 'e2e', 'spec', 'test', 'tests'])) > 0 OR starts_with(path, 'src/test/java/') OR regexp_matches(path, '\.(cy|spec|test)\.(js|jsx|ts|tsx)$') AS in_test_folder, regexp_matches(path, '^(test|tests|__tests__|cypress|e2e)/') OR len(list_intersect(string_split(path, '/'), ['test', 'tests', '__tests__'])) > 0 OR regexp_matches(path, '\.(test|spec|test-d)\.') AS mentions_test, string_split(path, '/')[-1] IN {P.CONFIG_NAMES} OR path IN {P.SCHEMA_FILES} OR starts_with(string_split(path, '/')[-1], '.env') OR regexp_matches(path, '(\.config\.(cjs|js|mjs|ts)|\.schema\.json|\.prisma)$') AS is_config FROM (SELECT DISTINCT path FROM writes)",
     "route_rows": f"WITH writes AS ({SQL_WRITES}), p AS (SELECT DISTINCT regexp_replace(path, '^(services|internal)/[^/]+', 'app') AS path FROM writes), s AS (SELECT path, string_split(path, '/') AS parts, string_split(string_split(path, '/')[-1], '.')[1] AS stem, CASE WHEN starts_with(path, 'app/') THEN 1 WHEN starts_with(path, 'src/app/') THEN 2 END AS app FROM p) SELECT path, CASE WHEN stem NOT IN ('layout', 'page', 'route') THEN 'spring_controller' WHEN stem = 'route' AND parts[app + 1] = 'api' AND len(parts) > app + 1 THEN 'api' ELSE stem END AS kind, CASE WHEN stem IN ('layout', 'page', 'route') THEN '/' || array_to_string(parts[app + 1:len(parts) - 1], '/') END AS route FROM s WHERE (stem IN ('layout', 'page', 'route') AND app IS NOT NULL) OR (stem NOT IN ('layout', 'page', 'route') AND ends_with(path, 'Controller.java'))",
 }

@@ -10,7 +10,6 @@ from pathloom.operators import conflicts as C
 from pathloom.operators import metrics as M
 from pathloom.operators import patterns as T
 from pathloom.operators import ranking as R
-from pathloom.operators.cycles import collapse_cycles
 from pathloom.operators.latest import latest
 from pathloom.operators.staging import Stages
 from pathloom.plans import contracts as K
@@ -105,23 +104,9 @@ def largest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.top(d, ["repo"], [F.desc("lines"), F.asc("doc_id")], 8)
 
 
-def collapsed_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Levels with the tasks that contracts name as dependencies before them; what waits for each
-    other forms a chain."""
-    w = K.plan_writes(spark, sf_dir)
-    conflict = C.conflict_edges(w).select("plan", F.col("predecessor").alias("src"), F.col("successor").alias("dst"))
-    c = latest(read(spark, sf_dir, "contracts").where("contract_id IS NOT NULL"), ["contract_id"], "landed_at", ["task_id"]).where("suite_name IS NOT NULL")
-    name = lambda x: F.lower(F.btrim(x, F.lit(" \t\r\n")))
-    named = c.select(F.col("suite_name").alias("plan"), F.col("contract_id").alias("id"), name("task_id").alias("name"))
-    wanted = c.select(F.col("suite_name").alias("plan"), F.col("contract_id").alias("dst"), F.explode("depends_on").alias("d")).select("plan", "dst", name("d").alias("name"))
-    asked = wanted.join(named, ["plan", "name"]).select("plan", F.col("id").alias("src"), "dst")
-    tasks = named.select("plan", F.col("id").alias("task"))
-    return C.plan_levels(tasks, collapse_cycles(conflict.unionByName(asked)))
-
-
 _EV = E.SQL_EVALS
 _C = f"{E._COUNTS}"
-QUERIES = {f.__name__: f for f in (path_templates, similar_words, miss_decomposition, prediction_diff, run_variance, backend_accuracy, most_imported, graph_stats, candidate_conflicts, last_changed, largest_documents, collapsed_levels)}
+QUERIES = {f.__name__: f for f in (path_templates, similar_words, miss_decomposition, prediction_diff, run_variance, backend_accuracy, most_imported, graph_stats, candidate_conflicts, last_changed, largest_documents)}
 SQL = {
     "path_templates": f"WITH writes AS ({K.SQL_WRITES}), p AS (SELECT path, string_split(path, '/') AS parts FROM (SELECT DISTINCT path FROM writes)), s AS (SELECT path, parts, unnest(range(1, len(parts))) AS a FROM p), t AS (SELECT path, parts, a, unnest(range(a, len(parts))) AS b FROM s) SELECT template, count(*) AS members FROM (SELECT DISTINCT path, array_to_string(parts[1:a - 1] || ['*'] || parts[b + 1:], '/') AS template FROM t) GROUP BY template HAVING count(*) >= 2",
     "miss_decomposition": f"{_EV}, tasks AS ({K.SQL_TASKS}), writes AS ({K.SQL_WRITES}), truth AS (SELECT t.contract_id, t.task, w.path FROM tasks t JOIN writes w USING (task)), p AS (SELECT contract_id, unnest(allowed_paths) AS pattern FROM tasks), cv AS (SELECT t.contract_id, t.path, bool_or(coalesce(t.path = p.pattern OR (regexp_matches(p.pattern, '[*?\\[]') AND t.path GLOB p.pattern), false)) AS covered FROM truth t LEFT JOIN p USING (contract_id) GROUP BY ALL), ch AS (SELECT DISTINCT t.contract_id, x.path FROM tasks t JOIN (SELECT lower(task_id) AS task, unnest(actual) AS path FROM ev) x USING (task)), b AS (SELECT coalesce(cv.contract_id, ch.contract_id) AS contract_id, cv.covered, ch.path AS changed FROM cv FULL JOIN ch ON ch.contract_id = cv.contract_id AND ch.path = cv.path) SELECT contract_id, count(*) FILTER (NOT covered) AS not_allowed, count(*) FILTER (covered AND changed IS NULL) AS not_changed, count(*) FILTER (covered IS NULL) AS beyond FROM b GROUP BY contract_id",

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pathloom.plans import contracts, documents, drift, more, rankings, runs, sources
+from pathloom.plans import contracts, documents, drift, more, rankings, runs, schedule, sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": drift.p5_found,
@@ -18,5 +18,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **runs.QUERIES,
     **sources.QUERIES,
     **more.QUERIES,
+    **schedule.QUERIES,
 }
-SQL: dict[str, str] = {**documents.SQL, **contracts.SQL, **rankings.SQL, **runs.SQL, **sources.SQL, **more.SQL}
+SQL: dict[str, str] = {**documents.SQL, **contracts.SQL, **rankings.SQL, **runs.SQL, **sources.SQL, **more.SQL, **schedule.SQL}

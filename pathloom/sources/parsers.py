@@ -6,6 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# ---- fixed values that results depend on --------------------------------------------------------
+
+PYTEST_LINE = r"^(\S+)\s+(PASSED|FAILED|ERROR)(?:\s+\[.*?\])?\s*$"
+
+# -------------------------------------------------------------------------------------------------
+
+
 def text_lines(texts: DataFrame, key: str, text: str) -> DataFrame:
     """(key, line_no, line): the lines of each text, from 1, without line ends."""
     return texts.select(key, F.posexplode(F.split(text, r"\r?\n"))).select(key, (F.col("pos") + 1).alias("line_no"), F.col("col").alias("line"))
@@ -39,8 +46,7 @@ def line_totals(lines: DataFrame, key: str) -> DataFrame:
 
 def pytest_results(lines: DataFrame, key: str) -> DataFrame:
     """(key, node, status) of verbose pytest output; of repeated nodes the last line holds."""
-    pattern = r"^(\S+)\s+(PASSED|FAILED|ERROR)(?:\s+\[.*?\])?\s*$"
-    r = lines.where(F.col("line").rlike(pattern)).select(key, F.regexp_extract("line", pattern, 1).alias("node"), F.regexp_extract("line", pattern, 2).alias("status"), "line_no")
+    r = lines.where(F.col("line").rlike(PYTEST_LINE)).select(key, F.regexp_extract("line", PYTEST_LINE, 1).alias("node"), F.regexp_extract("line", PYTEST_LINE, 2).alias("status"), "line_no")
     return r.groupBy(key, "node").agg(F.max_by("status", "line_no").alias("status"))
 
 
