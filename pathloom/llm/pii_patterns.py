@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from bisect import bisect_left, bisect_right
+from functools import lru_cache
 
+import ahocorasick
 import regex
 
 # ---- fixed values: words of the languages handled (English, German, French, Spanish) ----------
@@ -15,6 +19,8 @@ STREET_FR = "rue|avenue|av\\.?|boulevard|boul\\.|bd\\.?|chemin|ch\\.|place|pl\\.
 STREET_ES = "C/|C\\.|Calle|Avda\\.?|Av\\.|Avenida|Paseo|P\\.º|Pº|Plaza|Pza\\.|Plza\\.|Ronda|Camino|Cno\\.|Carretera|Ctra\\.|Travesía|Glorieta|Pasaje|Callejón"
 PARTICLES = "van der|van den|van de|van|von der|von|vom|zu|zum|zur|de la|de las|de los|de|del|della|di|da|dos|das|du|des|le|la|el|al|bin|ibn|ter|ten|af|av"
 TITLES = "Dr|Prof|Mr|Mrs|Ms|Mx|Miss|Sir|Herr|Herrn|Frau|Hr|Fr|M|Mme|Mlle|Sr|Sra|Srta|Don|Doña|Señor|Señora|Ing|Dipl"
+#: Titles that are hardly ever anything else.
+PLAIN_TITLES = ("dr", "prof", "mr", "mrs", "ms", "mx", "herr", "herrn", "frau", "mme", "mlle", "sra", "srta", "doña", "señor", "señora")
 ID_LABELS = (
     "SSN|social security(?: number| no\\.?)?|social insurance(?: number| no\\.?)?|national insurance(?: number| no\\.?)?|NINO|NI number|tax(?:payer)? id(?:entification)?(?: number| no\\.?)?|TIN|ITIN"
     "|passport(?: number| no\\.?)?|national id(?:entity)?(?: card)?(?: number| no\\.?)?|identity (?:card )?(?:number|no\\.?)|personal id(?:entity)?(?: number| no\\.?)?"
@@ -33,9 +39,11 @@ _FLAT = {ord(c): "-" for c in "‐‑‒–—−﹣-"} | {ord(c): " " for c in
 _AT = r"(?:@|[ ]?[\[({<][ ]?(?:at|AT|@|arroba)[ ]?[\])}>][ ]?|[ ]@[ ]|[ ](?:AT|at)[ ](?=[\p{L}\d-]+[ ](?:dot|DOT)[ ]))"
 _DOT = r"(?:\.|[ ]?[\[({<][ ]?(?:dot|DOT|punkt|point|punto|\.)[ ]?[\])}>][ ]?|[ ](?:dot|DOT)[ ])"
 EMAIL = regex.compile(rf"(?<![\p{{L}}\p{{M}}\d._%+\-@/])([\p{{L}}\d](?:[\p{{L}}\p{{M}}\d._%+\-]*[\p{{L}}\p{{M}}\d_%+\-])?){_AT}((?:[\p{{L}}\d](?:[\p{{L}}\d\-]*[\p{{L}}\d])?{_DOT})+)(\p{{L}}{{2,24}})(?![\p{{L}}\d\-@]|\.\d)")
-# what every address has somewhere, and how far it reaches from there
-MAIL_SIGN = regex.compile(r"@|[\[({<][ ]?(?:at|AT|arroba)[ ]?[\])}>]|[ ](?:at|AT)[ ][\p{L}\d-]+[ ](?:dot|DOT)[ ]")
-MAIL_REACH = (80, 200)
+# what every address has somewhere, and texts in lower case without which there is none
+MAIL_HINTS = ("@", " dot ", "at]", "at)", "at}", "at>", "at ]", "at )", "at }", "at >", "arroba")
+MAIL_SIGN = re.compile(r"@|[\[({<][ ]?(?:at|AT|arroba)[ ]?[\])}>]|[ ](?:at|AT)[ ](?:[^\W_]|-)+[ ](?:dot|DOT)[ ]")
+# the characters of a local part, backwards from the sign
+_LOCAL_BACK = regex.compile(r"(?r)[\p{L}\p{M}\d._%+\-]*")
 _NOT_MAIL = regex.compile(rf"^(?:{UNIT_ENDS})$", regex.I)
 
 _SEP = r"[\s.\-]?"
@@ -65,12 +73,20 @@ _NUMBER = (
     r"|\d{2}\.?\d{3}\.?\d{3}[\- ]?\p{Lu}|[XYZ][\- ]?\d{7}[\- ]?\p{Lu}"
     r"|\p{Lu}{1,2}\d{6,8}|\p{Lu}\d{2}\p{Lu}{2}\d{5}|\d{2}\s?\d{6}\s?\p{Lu}\s?\d{3})(?![\p{L}\d]|-\d)"
 )
-# numbers are found first and their labels looked for before them: labels are tried at few places
-ID_NUMBER = regex.compile(rf"(?<![\p{{L}}\d])({_NUMBER})", regex.I)
-ID_LABEL = regex.compile(rf"(?<![\p{{L}}\d])(?:{ID_LABELS}){_LABEL_GAP}$", regex.I)
-#: Characters before a number in which its label is looked for.
-LABEL_REACH = 80
-BARE_IDENTITY = regex.compile(r"(?<![\p{L}\d.\-/+])(\d{3}-\d{2}-\d{4}|QQ\s?\d{2}\s?\d{2}\s?\d{2}\s?[A-D])(?![\p{L}\d]|[.\-/]\d)")
+# what labels begin with: the whole pattern is tried there only
+ID_STEMS = (
+    "ssn", "social security", "social insurance", "national insurance", "nino", "ni number", "tax", "tin", "itin", "passport", "national id", "identity", "personal id",
+    "steuer", "idnr", "sozialversicherungsnummer", "sv-nummer", "reisepass", "pass", "personalausweis", "ausweis",
+    "nir", "numéro de sécu", "n° de sécu", "sécurité sociale", "numéro fiscal", "passeport", "carte d'identité",
+    "dni", "nif", "nie", "número de la seguridad social", "seguridad social", "pasaporte", "cif", "curp",
+)
+ID_NUMBER = regex.compile(rf"(?<![\p{{L}}\d])(?:{ID_LABELS}){_LABEL_GAP}(?<![\p{{L}}\d])({_NUMBER})", regex.I)
+#: Fixed value: letters that begin a British insurance number as published, and the pair used in examples.
+NINO = r"(?:[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z]|QQ)"
+# told without a label; the part that is looked for begins with something rare
+_SSN_TAIL = re.compile(r"-\d\d-\d{4}(?![^\W_]|[.\-/]\d)")
+_NINO = re.compile(rf"{NINO}\s?\d\d\s?\d\d\s?\d\d\s?[A-D](?![^\W_]|[.\-/]\d)")
+_FREE_BEFORE = re.compile(r"(?<![^\W_])(?<![.\-/+])")
 
 _WORD = r"\p{Lu}[\p{L}\p{M}']*(?:-\p{L}[\p{L}\p{M}']+)*"
 ADDRESS = regex.compile(
@@ -78,7 +94,7 @@ ADDRESS = regex.compile(
     rf"\d{{1,5}}(?:-\d{{1,5}})?\s?[A-Za-z]?,?\s+(?:{_WORD}\.?\s+){{1,4}}?(?:{STREET_EN}|{STREET_EN.upper()})\b(?!\s?=)"
     rf"|\d{{1,4}}(?:\s?(?:bis|ter|quater|[A-Da-d]))?,?\s+(?:{STREET_FR})\s+(?:(?:de|du|des|la|le|les|à|aux|au|d'|l'|sur|et)\s*)*{_WORD}"
     rf"|(?:{STREET_ES})\s+(?:(?:de|del|la|las|los|el|y)\s+)*{_WORD}(?:\s+(?:(?:de|del|la|las|los|y)\s+)*{_WORD}){{0,3}},?\s+(?:n\.?[º°]|núm\.?|no\.|número)?\s?\d{{1,4}}\b"
-    rf"|\p{{Lu}}[\p{{L}}\-]*(?:{STREET_DE})\s+\d{{1,4}}\s?[a-z]?\b"
+    rf"|\p{{Lu}}[\p{{L}}\-]*+\.?(?<={STREET_DE})\s+\d{{1,4}}\s?[a-z]?\b"
     rf"|{_WORD}\s+(?i:{STREET_DE})\s+\d{{1,4}}\s?[a-z]?\b"
     rf"|(?:{PLACE_DE})\s+(?:{_WORD}\s+){{1,3}}\d{{1,4}}\s?[a-z]?\b(?=[\s.,;:)\"'\]|]|$)"
     rf")"
@@ -100,11 +116,59 @@ _BY = regex.compile(r"\b[Gg]e\p{L}+(?:t|en)\s+$")
 _PARTS = regex.compile(r"[\p{L}]{3,}")
 
 
+_FLAT = {chr(c): v for c, v in _FLAT.items()}
+_ODD = re.compile("[" + "".join(map(re.escape, _FLAT)) + "]")
+
+
 def flat(text: str) -> str:
     """The text with unusual dashes, blanks and digits as usual ones; as long as before."""
-    return text.translate(_FLAT)
+    return _ODD.sub(lambda m: _FLAT[m[0]], text)
+
+
+@lru_cache(maxsize=1)
+def _stems() -> ahocorasick.Automaton:
+    found = ahocorasick.Automaton()
+    for w in ID_STEMS:
+        found.add_word(w, len(w))
+    found.make_automaton()
+    return found
+
+
+def _lower(text: str) -> str:
+    """Lower case, as long as before."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+class Places:
+    """Intervals of a text that don't overlap, in order."""
+
+    def __init__(self, spans=()):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):
+            if not self.starts or a >= self.ends[-1]:
+                self.starts.append(a)
+                self.ends.append(b)
+            else:
+                self.ends[-1] = max(b, self.ends[-1])
+
+    def free(self, a: int, b: int) -> bool:
+        """Whether [a, b) meets none of them."""
+        i = bisect_left(self.starts, b)
+        return i == 0 or self.ends[i - 1] <= a
 
+    def add(self, a: int, b: int) -> None:
+        i = bisect_right(self.starts, a)
+        self.starts.insert(i, a)
+        self.ends.insert(i, b)
 
+    def near(self, a: int, b: int, reach: int) -> bool:
+        """Whether one is within ``reach`` characters of [a, b)."""
+        return not self.free(a - reach, b + reach)
+
+
+@lru_cache(maxsize=1 << 16)
 def folds(term: str) -> tuple[str, ...]:
     """The forms of a word in mail addresses: accents cut from letters, or such letters left out."""
     low = term.lower().replace("'", "").replace("-", "")
@@ -127,34 +191,38 @@ Span = tuple[str, int, int]
 def pattern_spans(text: str) -> list[Span]:
     """(kind, start, end) of what patterns tell alone; spans don't overlap.  ``text`` is flat."""
     out: list[Span] = []
-    taken: list[tuple[int, int]] = []
-
-    def free(a: int, b: int) -> bool:
-        return all(b <= x or a >= y for x, y in taken)
+    taken = Places()
+    free = taken.free
 
     def take(kind: str, a: int, b: int) -> None:
         out.append((kind, a, b))
-        taken.append((a, b))
+        taken.add(a, b)
 
     done = 0
-    for sign in MAIL_SIGN.finditer(text):
-        for m in EMAIL.finditer(text, max(done, sign.start() - MAIL_REACH[0]), sign.end() + MAIL_REACH[1]):
-            if m.start() > sign.start() or m.start() < done:
-                continue
-            done = m.end()
-            if _NOT_MAIL.match(m[3]):
-                continue
-            if m[1].lower() in ("git", "hg", "svn") and text[m.end() : m.end() + 1] in (":", "/"):
-                continue
-            if text[m.end() : m.end() + 1] == ":" and regex.match(r":[\w~.-]+/", text[m.end() :][:80]):
-                continue
-            take("email", m.start(), m.end())
-    for m in ID_NUMBER.finditer(text, overlapped=True):
-        if free(m.start(1), m.end(1)) and any(c.isdigit() for c in m[1]) and ID_LABEL.search(text, max(0, m.start() - LABEL_REACH), m.start()):
-            take("identity_number", m.start(1), m.end(1))
-    for m in BARE_IDENTITY.finditer(text):
-        if free(m.start(1), m.end(1)):
+    low = _lower(text)
+    for sign in MAIL_SIGN.finditer(text) if any(h in low for h in MAIL_HINTS) else ():
+        at = sign.start()
+        while at > done and sign.start() - at < 3 and text[at - 1] in " [({<":
+            at -= 1
+        m = EMAIL.match(text, max(done, _LOCAL_BACK.match(text, 0, at).start()))
+        if m is None or not m.end(1) <= sign.start() < m.start(2):
+            continue
+        done = m.end()
+        if _NOT_MAIL.match(m[3]):
+            continue
+        if m[1].lower() in ("git", "hg", "svn") and text[m.end() : m.end() + 1] in (":", "/"):
+            continue
+        if text[m.end() : m.end() + 1] == ":" and regex.match(r":[\w~.-]+/", text[m.end() :][:80]):
+            continue
+        take("email", m.start(), m.end())
+    for at in sorted({end - n + 1 for end, n in _stems().iter(low)}):
+        m = ID_NUMBER.match(text, at)
+        if m and any(c.isdigit() for c in m[1]) and free(m.start(1), m.end(1)):
             take("identity_number", m.start(1), m.end(1))
+    bare = [(m.start() - 3, m.end()) for m in _SSN_TAIL.finditer(text) if m.start() >= 3 and text[m.start() - 3 : m.start()].isdecimal()]
+    for a, b in sorted(bare + [m.span() for m in _NINO.finditer(text)]):
+        if _FREE_BEFORE.match(text, a) and free(a, b):
+            take("identity_number", a, b)
     for m in PHONE.finditer(text):
         digits = sum(c.isdigit() for c in m[0])
         if not 9 <= digits <= 15 or not free(m.start(), m.end()):
@@ -176,13 +244,10 @@ def name_candidates(text: str, spans: list[Span]) -> list[Candidate]:
     """(shape, start, end, given, surname) of what may be a person's name; terms in lower case.
 
     Shapes: full (given before surname), short (initial and surname), turned (surname, given) and
-    titled (a title and a surname).  Candidates overlap each other, but not ``spans``.
+    titled (a title and a surname; the title, in lower case, as its given name).  Candidates
+    overlap each other, but not ``spans``.
     """
-    blocked = [(a, b) for _, a, b in spans]
-
-    def free(a: int, b: int) -> bool:
-        return all(b <= x or a >= y for x, y in blocked)
-
+    free = Places((a, b) for _, a, b in spans).free
     out: list[Candidate] = []
     for m in FULL.finditer(text, overlapped=True):
         if free(m.start(), m.end()):
@@ -198,5 +263,5 @@ def name_candidates(text: str, spans: list[Span]) -> list[Candidate]:
             out.append(("turned", a, m.end(), "" if "." in m[2] else m[2].lower(), m[1].lower()))
     for m in TITLED.finditer(text, overlapped=True):
         if free(m.start(), m.end()):
-            out.append(("titled", m.start(2) if not m[1] else m.start(1), m.end(), "", m[2].lower()))
+            out.append(("titled", m.start(2) if not m[1] else m.start(1), m.end(), regex.split(r"[.\s]", m[0], maxsplit=1)[0].lower(), m[2].lower()))
     return out
