@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.pii_patterns import EMAIL, PLAIN_TITLES, TOKEN, Places, flat, folds, mail_words, name_candidates, pattern_spans
+from pathloom.llm.pii_patterns import EMAIL, PLAIN_TITLES, TITLES, TOKEN, Places, flat, folds, mail_words, name_candidates, pattern_spans
 from pathloom.operators.staging import Stages, broadcast_if_small
 
 #: Bits about mail addresses from which a word counts as a given name, and the share of the
@@ -139,7 +139,8 @@ def disclosure(scanned: DataFrame, stages: Stages) -> DataFrame:
     firm = found.where("surname").select("term")
     ahead = names.where("kind = 'full'").join(broadcast_if_small(firm), "term").groupBy(F.col("given").alias("first")).agg(F.count(F.lit(1)).alias("ahead"), F.count_distinct("term").alias("of"))
     more = ahead.join(words.select(F.col("term").alias("first"), "n"), "first").where((F.col("of") >= 2) & (F.col("ahead") >= F.col("n") * GIVEN_AHEAD)).select(F.col("first").alias("term"))
-    all_given = stages.put(given.unionByName(more).distinct(), "given")
+    titles = [t.lower() for t in TITLES.split("|")]  # they stand before surnames, but name nobody
+    all_given = stages.put(given.unionByName(more).distinct().where(~F.col("term").isin(*titles)), "given")
     return _surnames(words, names, single, all_given, stages).where("given OR surname")
 
 

@@ -153,16 +153,15 @@ def p2_values(spark: SparkSession, sf_dir: str, stages: Stages) -> DataFrame:
 def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles 50 and 95 per strategy, day and metric; ``run_day`` is null over all days."""
     values = p2_values(spark, sf_dir, Stages(spark, "p2"))
-    both = values.withColumn("run_day", F.explode(F.array(F.col("run_day"), F.lit(None).cast("string"))))
-    return percentiles(both, ["strategy", "run_day", "metric"], "value", [50, 95]).withColumn("pct", F.col("pct").cast("int"))
+    return percentiles(values, ["strategy", "run_day", "metric"], "value", [50, 95], totals=(["strategy", "metric"],)).withColumn("pct", F.col("pct").cast("int"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days whose percentile is at least twice that of their strategy over all days."""
-    all_ = p2_percentiles(spark, sf_dir)
-    overall = all_.where("run_day IS NULL").select("strategy", "metric", "pct", F.col("value").alias("usual"))
-    days = all_.where("run_day IS NOT NULL AND n >= 15")
-    return days.join(F.broadcast(overall), ["strategy", "metric", "pct"]).where("value >= 2 * usual").select("strategy", "run_day", "metric", "pct")
+    both = p2_percentiles(spark, sf_dir)
+    overall = both.where("level = 1").select("strategy", "metric", "pct", F.col("value").alias("usual"))
+    days = both.where("level = 0 AND n >= 15")
+    return days.join(overall, ["strategy", "metric", "pct"]).where("value >= 2 * usual").select("strategy", "run_day", "metric", "pct")
 
 
 def p3_scored_paths(spark: SparkSession, sf_dir: str, stages: Stages) -> DataFrame:

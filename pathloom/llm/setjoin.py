@@ -1,26 +1,33 @@
 """All similar pairs between set-valued records, by recursive chosen-path splitting.
 
 Records descend trees.  In a node a record chooses, for each tree, some of its tokens that
-are not yet on the path: those whose hash under (node, tree) is below a rate over its number
-of such tokens; ``branching`` of them on average.  Similar records share tokens and so tend
-to choose the same ones.  A node of few records is compared by brute force; larger ones are
-split again.  Trees agree on a node's key (the set of tokens on the path), so what several
-trees choose is compared once.  Candidates that pass a bit-sketch bound are verified exactly.
-
-A record most of whose tokens are on a path is compared with its whole node and leaves it;
-so are all records of a node at ``MAX_DEPTH``, in blocks.
+are not yet on the path: those whose hash under (node, tree) is below a rate, ``branching`` of
+them on average at the root.  Similar records share tokens and so tend to choose the same ones.
+A node of few records is compared by brute force; larger ones are split again.  Trees agree on a
+node's key (the set of tokens on the path), so what several trees choose is compared once.  Trees
+are repeated until a pair at the threshold is missed with a probability of no more than
+1 - ``recall`` (``trees_for``).  Candidates that pass a bit-sketch bound are verified exactly.
+
+A record most of whose tokens are on a path is compared with its whole node and leaves it; so
+are all records of a node at ``MAX_DEPTH``.  Boilerplate shared by all of a node's records
+doesn't make them all meet there: see ``_by_next_token``.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.operators.staging import Stages, broadcast_if_small
 
-#: Trees, tokens chosen on average per record and tree, and records of a node at each depth up
-#: to which it is compared by brute force.
-TREES, BRANCHING = 12, 2.0
+#: The share of pairs at the threshold that is to be found, and tokens chosen on average per
+#: record and tree.
+RECALL, BRANCHING = 0.999, 2.0
+#: Trees at most: as many as a record's mask of trees has bits.
+MAX_TREES = 60
+#: Records of a node at each depth up to which it is compared by brute force.
 NODE_LIMITS = (64, 128, 256, 512, 1024)
 MAX_DEPTH = 6
 #: Records of a block where a node is compared in blocks.
@@ -28,29 +35,75 @@ BLOCK = 1024
 _GRID = 1 << 20
 
 
+def survival(threshold: float, branching: float = BRANCHING, depth: int = MAX_DEPTH) -> float:
+    """The least probability that two sets at the threshold meet in one tree after ``depth`` levels.
+
+    Two sets with similarity t share at least t * size tokens of the larger one, so behind a path
+    of d tokens at least t * size - d.  A record chooses its open tokens at a rate of
+    ``branching`` * t over that number; the larger set has the smaller rate, so the common
+    choices in a node number ``branching`` * t on average or more, at any depth and whatever
+    the sizes: a branching process, whose extinction is followed level by level.  Choices are
+    binomial; a Poisson number of the same mean has the larger chance of none.
+    """
+    mean, dead = branching * threshold, 0.0
+    for _ in range(depth):
+        dead = math.exp(mean * (dead - 1))
+    return 1 - dead
+
+
+def trees_for(threshold: float, recall: float = RECALL, branching: float | None = None) -> tuple[int, float]:
+    """Trees and branching for a wanted recall: the branching grows where few tokens are common,
+    so that a tree doesn't die out (mean common choices of 1.4 or more)."""
+    b = branching or max(BRANCHING, 1.4 / threshold)
+    alive = survival(threshold, b)
+    need = math.ceil(math.log(1 - recall) / math.log(1 - alive))
+    return max(1, min(MAX_TREES, need)), b
+
+
 def _sketch(tokens: Column, shift: int) -> Column:
     bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), F.call_function("shiftright", t, F.lit(shift)).bitwiseAND(F.lit(63)).cast("int"))
     return F.aggregate(tokens, F.lit(0).cast("long"), lambda acc, t: acc.bitwiseOR(bit(t)))
 
 
-def _choose(state: DataFrame, trees: int, branching: float) -> DataFrame:
-    """The children that each record goes on to, with the trees that chose them."""
-    token = state.select("*", F.explode("rest").alias("token"))
-    rate = F.lit(float(branching)) / F.size("rest")
-    below = rate * _GRID
-    mask = F.lit(0)
-    for t in range(trees):
-        draw = F.pmod(F.xxhash64("node", "token", F.lit(t)), F.lit(_GRID))
-        mask = mask + F.when(draw < below, F.lit(1 << t)).otherwise(F.lit(0))
-    chosen = token.withColumn("trees", mask.bitwiseAND(F.col("trees")).cast("int")).where("trees <> 0")
+def _choose(state: DataFrame, threshold: float, trees: int, branching: float) -> DataFrame:
+    """The children that each record goes on to, with the trees that chose them.
+
+    Tokens are filtered inside the array, so only chosen ones become rows and carry the others."""
+    common = F.ceil(F.col("size") * F.lit(threshold) - 1e-9) - F.col("depth")
+    below = F.lit(float(branching) * threshold * _GRID) / F.greatest(common, F.lit(1))
+
+    def mask(token: Column) -> Column:
+        out = F.lit(0).cast("long")
+        # one hash serves three trees, a share of its bits each
+        for first in range(0, trees, 3):
+            h = F.xxhash64("node", token, F.lit(first))
+            for t in range(first, min(first + 3, trees)):
+                draw = F.call_function("shiftright", h, F.lit(20 * (t - first))).bitwiseAND(F.lit(_GRID - 1))
+                out = out.bitwiseOR(F.when(draw < below, F.lit(1 << t).cast("long")).otherwise(F.lit(0).cast("long")))
+        return out.bitwiseAND(F.col("trees"))
+
+    picks = F.filter(F.transform("rest", lambda t: F.struct(t.alias("token"), mask(t).alias("trees"))), lambda p: p["trees"] != 0)
+    chosen = state.withColumn("p", F.explode(picks)).drop("trees").select("*", "p.token", "p.trees")
     # exclusive or, so that the order in which tokens were chosen doesn't matter
     node = F.col("node").bitwiseXOR(F.xxhash64(F.col("token"), F.lit(77)))
-    return chosen.select(node.alias("node"), "trees", "rid", "side", "size", "depth", F.array_remove("rest", F.col("token")).alias("rest"), "s0", "s1").withColumn("depth", F.col("depth") + 1)
+    return chosen.select(node.alias("node"), "trees", "rid", "side", "size", (F.col("depth") + 1).alias("depth"), F.array_remove("rest", F.col("token")).alias("rest"), "s0", "s1")
 
 
 _LEAF = ["node", "rid", "side", "size", "s0", "s1", "n", "probe"]
 
 
+def _near(threshold: float, two_tables: bool) -> Column:
+    """What the sizes and sketches of two records (_a, _b) don't rule out."""
+    order = (F.col("side_a") < F.col("side_b")) if two_tables else (F.col("rid_a") < F.col("rid_b"))
+    both = F.col("size_a") + F.col("size_b")
+    # of sets with Jaccard j, at most (1 - j) / (1 + j) of both sizes lie in one only; differing
+    # bits of a sketch come from different such tokens
+    apart = both * F.lit((1 - threshold) / (1 + threshold)) + 1e-9
+    far = lambda s: F.bit_count(F.col(f"{s}_a").bitwiseXOR(F.col(f"{s}_b")))
+    sizes = F.least("size_a", "size_b") + 1e-9 >= F.greatest("size_a", "size_b") * F.lit(threshold)
+    return order & (F.col("probe_a") | F.col("probe_b")) & sizes & (far("s0") <= apart) & (far("s1") <= apart)
+
+
 def _candidates(leaves: DataFrame, threshold: float, two_tables: bool) -> DataFrame:
     """Distinct pairs of a node's records that the sizes and sketches don't rule out.
 
@@ -62,30 +115,46 @@ def _candidates(leaves: DataFrame, threshold: float, two_tables: bool) -> DataFr
     cells = spread.select("node", F.least("own", "other").alias("b0"), F.greatest("own", "other").alias("b1"), "own", "rid", "side", "size", "s0", "s1", "probe")
     a = cells.select("node", "b0", "b1", *[F.col(c).alias(f"{c}_a") for c in ("own", "rid", "side", "size", "s0", "s1", "probe")])
     b = cells.select("node", "b0", "b1", *[F.col(c).alias(f"{c}_b") for c in ("own", "rid", "side", "size", "s0", "s1", "probe")])
-    order = (F.col("side_a") < F.col("side_b")) if two_tables else (F.col("rid_a") < F.col("rid_b"))
-    both = F.col("size_a") + F.col("size_b")
-    # of sets with Jaccard j, at most (1 - j) / (1 + j) of both sizes lie in one only; differing
-    # bits of a sketch come from different such tokens
-    apart = both * F.lit((1 - threshold) / (1 + threshold)) + 1e-9
-    far = lambda s: F.bit_count(F.col(f"{s}_a").bitwiseXOR(F.col(f"{s}_b")))
-    met = a.join(b, ["node", "b0", "b1"]).where(
-        order
-        & (F.col("probe_a") | F.col("probe_b"))
-        & ((F.col("b0") == F.col("b1")) | (F.col("own_a") != F.col("own_b")))
-        & (F.least("size_a", "size_b") + 1e-9 >= F.greatest("size_a", "size_b") * F.lit(threshold))
-        & (far("s0") <= apart)
-        & (far("s1") <= apart)
-    )
+    met = a.join(b, ["node", "b0", "b1"]).where(((F.col("b0") == F.col("b1")) | (F.col("own_a") != F.col("own_b"))) & _near(threshold, two_tables))
     return met.select(F.col("rid_a").alias("a"), F.col("rid_b").alias("b")).distinct()
 
 
+def _by_next_token(met: DataFrame, stages: Stages, threshold: float, two_tables: bool) -> tuple[DataFrame, DataFrame]:
+    """Large nodes compared without all meeting all: leaves, and pairs that need no look.
+
+    Records of a node share the d tokens of its path.  Pairs whose sizes ask for d common tokens
+    or fewer are similar by that alone.  Others share a token more, and one among the first
+    ``size - ceil(t * size) + 1`` of each if tokens are put in order of how few of the node's
+    records have them; so they meet in a node for such a token, and no pair is lost."""
+    met = stages.put(met.select("node", "rid", "side", "size", "depth", "rest", "s0", "s1", "probe"), "large")
+    most = F.floor(F.col("depth") * F.lit((1 + threshold) / threshold) + 1e-9).cast("int")  # both sizes together
+    near = met.select("node", "rid", "side", "size", "depth").where(F.col("depth") >= F.col("size") * F.lit(threshold) - 1e-9)
+    a = near.select("node", F.col("rid").alias("a"), F.col("side").alias("sa"), "size")
+    partner = F.explode(F.sequence(F.col("depth"), F.greatest(most - F.col("size"), F.col("depth"))))
+    b = near.select("node", F.col("rid").alias("b"), F.col("side").alias("sb"), "depth", F.col("size").alias("own"), partner.alias("size"))
+    order = F.col("sa") < F.col("sb") if two_tables else F.col("a") < F.col("b")
+    pairs = a.join(b.where(F.col("size") + F.col("own") <= F.floor(F.col("depth") * F.lit((1 + threshold) / threshold) + 1e-9)), ["node", "size"]).where(order).select("a", "b")
+    token = met.select("node", F.explode("rest").alias("token")).groupBy("node", "token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    named = met.select("node", "rid", "side", F.explode("rest").alias("token")).join(token, ["node", "token"])
+    ranked = named.groupBy("node", "rid", "side").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("order"))
+    # tokens that nobody else has stand first; those of the path last
+    lone = F.size("rest") - F.size("order")
+    keep = F.least(F.col("size") - F.ceil(F.col("size") * F.lit(threshold) - 1e-9).cast("int") + 1, F.size("rest")) - lone
+    short = met.join(ranked, ["node", "rid", "side"]).where(keep > 0).withColumn("p", F.explode(F.slice("order", F.lit(1), F.greatest(keep, F.lit(1)))))
+    short = stages.put(short.select(F.xxhash64("node", "p.token").alias("node"), "rid", "side", "size", "s0", "s1", "probe"), "short")
+    counts = short.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("side").alias("x"), F.max("side").alias("y"), F.max("probe").alias("any"))
+    counts = counts.where(F.col("any") & (F.expr("x < y") if two_tables else F.col("n") > 1)).select("node", "n")
+    return short.join(counts, "node").select(*_LEAF), pairs
+
+
 def _search(sets: DataFrame, stages: Stages, threshold: float, two_tables: bool, trees: int, branching: float) -> DataFrame:
     """Candidate pairs (a, b) of ``sets``: node, rid, side, tokens (distinct longs)."""
     size = F.size("tokens")
-    state = sets.select("node", F.lit((1 << trees) - 1).alias("trees"), "rid", "side", size.alias("size"), F.lit(0).alias("depth"), F.col("tokens").alias("rest"), _sketch(F.col("tokens"), 0).alias("s0"), _sketch(F.col("tokens"), 6).alias("s1"))
+    state = sets.select("node", F.lit((1 << trees) - 1).cast("long").alias("trees"), "rid", "side", size.alias("size"), F.lit(0).alias("depth"), F.col("tokens").alias("rest"), _sketch(F.col("tokens"), 0).alias("s0"), _sketch(F.col("tokens"), 6).alias("s1"))
     leaves: DataFrame | None = None
+    pairs: DataFrame | None = None
     for depth in range(1, MAX_DEPTH + 1):
-        children = _choose(state, trees, branching)
+        children = _choose(state, threshold, trees, branching)
         if depth > 1:  # reached over several orders of the same tokens
             first = [F.first(c).alias(c) for c in ("size", "depth", "rest", "s0", "s1")]
             children = children.groupBy("node", "rid", "side").agg(F.bit_or("trees").alias("trees"), *first)
@@ -94,24 +163,28 @@ def _search(sets: DataFrame, stages: Stages, threshold: float, two_tables: bool,
         counts = counts.where("x < y" if two_tables else "n > 1").drop("x", "y")
         here = children.join(counts, "node")
         limit = NODE_LIMITS[min(depth, len(NODE_LIMITS)) - 1]
-        small = (F.col("n") <= limit) | F.lit(depth == MAX_DEPTH)
         # all but this part of the record is on the path, so most of its partners are here
         settled = (F.lit(depth) >= F.col("size") * F.lit(threshold)) | (F.size("rest") == 0)
-        state = stages.put(here.withColumn("small", small).withColumn("settled", settled), f"nodes{depth}")
+        state = stages.put(here.withColumn("small", F.col("n") <= limit).withColumn("settled", settled), f"nodes{depth}")
         leaf = state.where("small").withColumn("probe", F.lit(True)).select(*_LEAF)
         large = state.where("NOT small")
-        # in large nodes that have settled records, these probe all
-        probing = large.where("settled").select("node").distinct()
+        last = depth == MAX_DEPTH
+        # in large nodes that have settled records, these probe all; at the end all do
+        probing = large.where(F.col("settled") | F.lit(last)).select("node").distinct()
         if not probing.isEmpty():
-            leaf = leaf.unionByName(large.join(probing, "node", "left_semi").withColumn("probe", F.col("settled")).select(*_LEAF))
+            met = large.join(broadcast_if_small(probing), "node", "left_semi").withColumn("probe", F.col("settled") | F.lit(last))
+            parted, sure = _by_next_token(met, stages, threshold, two_tables)
+            leaf = leaf.unionByName(parted)
+            pairs = sure if pairs is None else pairs.unionByName(sure)
         leaves = leaf if leaves is None else leaves.unionByName(leaf)
         state = large.where("NOT settled").select("node", "trees", "rid", "side", "size", "depth", "rest", "s0", "s1")
-        if state.isEmpty():
+        if last or state.isEmpty():
             break
-    return _candidates(leaves, threshold, two_tables)
+    found = _candidates(leaves, threshold, two_tables)
+    return found if pairs is None else found.unionByName(pairs).distinct()
 
 
-def similar_sets(left: DataFrame, rid: str, items: str, threshold: float, right: DataFrame | None = None, space: str | None = None, min_size: int = 1, trees: int = TREES, branching: float = BRANCHING) -> tuple[DataFrame, DataFrame]:
+def similar_sets(left: DataFrame, rid: str, items: str, threshold: float, right: DataFrame | None = None, space: str | None = None, min_size: int = 1, trees: int | None = None, branching: float | None = None, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
     """Classes of equal sets, and pairs of classes with Jaccard similarity ``threshold`` or more.
 
     ``rid``: a unique key of the record; ``items``: an array of strings, repeats and nulls in
@@ -121,12 +194,15 @@ def similar_sets(left: DataFrame, rid: str, items: str, threshold: float, right:
 
     Gives members (space, side, class_id, rid) and links (space, class_a, class_b, common,
     total, similarity), class_a < class_b unless there are two tables.  Records of one class
-    have equal sets, so every pair of members of a class is similar too.  Recall over pairs
-    of random sets at the threshold is above 0.999 with the default trees; precision is 1.
-    Empty tables give empty results.
+    have equal sets, so every pair of members of a class is similar too.  The number of trees
+    follows from ``recall``, the least share to be found of pairs at the threshold (more similar
+    ones are found more often), unless ``trees`` is given; precision is 1.  Empty tables give
+    empty results.
     """
     spark = left.sparkSession
     stages = Stages(spark, "setjoin")
+    need, branching = trees_for(threshold, recall, branching)
+    trees = trees or need
     sides = [(0, left)] if right is None else [(0, left), (1, right)]
     rows: DataFrame | None = None
     for side, df in sides:

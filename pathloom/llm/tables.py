@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.functions.text import plain_name
@@ -14,15 +14,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ident(*values: Column, names: list[str]) -> list[Column]:
+    """128 bits that tell values apart, as two longs; nulls count as values of their own."""
+    marked = [x for v in values for x in (v.isNull(), v)]
+    return [F.xxhash64(F.lit(i), *marked).alias(n) for i, n in enumerate(names)]
+
+
 def latest_eval_tasks(spark: SparkSession, sf_dir: str, columns: list[str], ties: list[str], stages: Stages) -> DataFrame:
     """eval_tasks, latest by (run_id, task_id) on ingested_at; rows without a key can't have a run."""
     rows = read(spark, sf_dir, "eval_tasks").selectExpr("run_id", "task_id", "ingested_at", *columns)
     return latest_of_few_repeats(rows, ["run_id", "task_id"], "ingested_at", ties, stages)
 
 
-def runs_with(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
-    return read(spark, sf_dir, "runs").select("run_id", column).dropna(subset=["run_id"]).dropDuplicates(["run_id"])
-
-
 def plain_strategy(runs: DataFrame) -> DataFrame:
     return runs.select("run_id", plain_name(F.col("strategy")).alias("strategy"))

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from pathloom.llm.pii import find_personal, sanitise
+from pathloom.llm.pii import _rewritten, find_personal, sanitise
 from pathloom.llm.pii_patterns import flat, folds, mail_words, name_candidates, pattern_spans
 
 FOUND = [
@@ -100,3 +100,34 @@ def test_sanitised_text(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "id long, body string")
     assert find_personal(df, "id", "body").count() == 0 and sanitise(df, "id", "body").count() == 0
+
+
+def test_longer_than_any_reach():
+    for text, kind in ((f"ssn:{' ' * 300}980 17 1403 x", "identity_number"), (f"to {'a' * 300}@{'b' * 300}.example now", "email"), ("code AB123456C here", "identity_number")):
+        assert [k for k, _, _ in pattern_spans(flat(text))] == [kind]
+    assert pattern_spans(flat("code XAB123456C, AB123456E, AB123456C-1")) == []
+
+
+def test_names_in_a_corpus_without_mail_addresses(spark):
+    r = random.Random(5)
+    given, sur = ["Noor", "Pavel", "Wei", "Astrid"], [a + b for a in ("Ros", "Vel", "Hald", "Tarn") for b in ("quist", "haus", "ovar", "umari")]
+    rows, want = [], set()
+    for i in range(400):
+        g, s = r.choice(given), r.choice(sur)
+        head, name, tail = r.choice([("Ask Dr. ", s, " first."), ("We heard from ", f"{g} {s}", " again."), ("Call ", f"{g} {s}", ", +1 303 555 0134."), ("Seen by Frau ", s, ".")])
+        pre = "The Harbor Ledger screen and the Sidebar Panel. " * (i % 2)
+        rows.append((i, pre + head + name + tail, "x"))
+        want.add((i, len(pre + head)))
+    got = {(x.doc_id, x.start_char) for x in find_personal(spark.createDataFrame(rows, "id long, body string, kind string"), "id", "body").where("kind = 'person_name'").collect()}
+    assert len(got & want) > 0.97 * len(want) and len(got - want) <= 0.02 * len(want)
+
+
+def test_both_ways_to_rewrite_agree(spark):
+    rows, _ = corpus()
+    df = spark.createDataFrame([*rows, (900, None, "x"), (901, "", "x")], "id long, body string, kind string")
+    one, two = (sorted(map(tuple, sanitise(df, "id", "body", limit=n).collect())) for n in (10**6, 0))
+    assert one == two and len(one) == len(rows) + 2
+
+
+def test_overlapping_spans_become_one():
+    assert _rewritten("abcdefgh", [("person_name", 1, 4), ("email", 3, 6), ("phone", 7, 8)]) == "a[NAME]g[PHONE]"

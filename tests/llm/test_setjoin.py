@@ -83,3 +83,30 @@ def test_empty_and_huge(spark):
     assert members.count() == links.count() == 0
     big = [f"t{i}" for i in range(3000)]
     assert found(*S.similar_sets(frame(spark, [(1, big), (2, big[:2900]), (3, ["t1"])]), "id", "items", 0.9)) == {(1, 2)}
+
+
+@pytest.mark.parametrize("t", [0.2, 0.3, 0.5, 0.6, 0.8, 0.9])
+@pytest.mark.parametrize("hot", [0, 6])
+def test_recall_at_the_threshold(spark, monkeypatch, t, hot):
+    """Pairs of equal size and of a set within another, as far apart as still counts, among tokens
+    that all records have."""
+    monkeypatch.setattr(S, "NODE_LIMITS", (8, 8, 8, 8, 8))
+    r = random.Random(7)
+    rows = []
+    for _ in range(60):
+        size = r.choice((5, 10, 15))
+        one = {f"x{r.randrange(10**6)}" for _ in range(size)}
+        like = -(-int(2 * t * size * 1000) // int(1000 * (1 + t)))
+        other = set(sorted(one)[:like]) | {f"y{r.randrange(10**6)}" for _ in range(size - like)}
+        rows += [one, other, set(sorted(one)[: -(-int(t * size * 1000) // 1000)])]
+    rows = [(i, sorted(x | {f"hot{j}" for j in range(hot)})) for i, x in enumerate(rows)]
+    want = brute(rows, None, t, True)
+    got = found(*S.similar_sets(frame(spark, rows), "id", "items", t))
+    assert got <= want and len(got) >= 0.998 * len(want) > 50
+
+
+def test_trees_follow_the_recall():
+    assert [S.trees_for(0.6, recall)[0] for recall in (0.5, 0.9, 0.999)] == sorted({S.trees_for(0.6, recall)[0] for recall in (0.5, 0.9, 0.999)})
+    for t in (0.2, 0.5, 0.9):
+        trees, b = S.trees_for(t)
+        assert 1 - (1 - S.survival(t, b)) ** trees >= S.RECALL
