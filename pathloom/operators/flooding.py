@@ -4,7 +4,10 @@ A schema is a set of dotted field names with kinds.  Its graph has a node for ea
 each object on the way to it, for each word of a name and for each kind.  Pairs of nodes of
 two schemas start with the likeness of their words; likeness then flows along edges of the
 same label (a field's object, words and kind) between neighbouring pairs until it no longer
-changes.  Correspondences are selected from the result best first, each field once.
+changes.  Correspondences are selected from the converged likeness, relative to that of each
+field with itself: best first, each field once, from half of it on.  Fields whose names say
+nothing about each other correspond if they are the only ones of their kind at their place
+and hold the same values.
 """
 
 from __future__ import annotations
@@ -12,8 +15,11 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-#: The share of the weight of their words that fields must have in common to correspond.
-EVIDENCE = 0.65
+#: The least likeness of corresponding fields, 1 being that of a field with itself.
+ACCEPT = 0.5
+#: Without a common word: the share of their values that fields must have in common, and how
+#: many different ones each must have for that to count.
+SAME_VALUES, LEAST_VALUES = 0.5, 4
 #: Passes at most, and the change at which flooding has converged.
 MAX_PASSES, EPSILON = 100, 1e-4
 
@@ -37,6 +43,17 @@ def _spell_out(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[str, ...]:
     return tuple(out)
 
 
+def spelled(names: list[str]) -> dict[str, tuple[str, ...]]:
+    """The words of each name, initials spelled out by the words of the others."""
+    out = {}
+    for n in names:
+        ws = words(n)
+        for m in names:
+            ws = _spell_out(ws, words(m))
+        out[n] = ws
+    return out
+
+
 def _containers(name: str) -> list[str]:
     parts = name.split(".")
     return [".".join(parts[:i]) for i in range(len(parts))]  # "" is the record
@@ -62,13 +79,14 @@ def evidence(a: str, b: str) -> float:
 def flood(old: list[Field], new: list[Field]) -> dict[tuple[str, str], float]:
     """Likeness of each pair of fields, 1 for the most alike."""
     start = {(a, b): 1.0 if a == b else evidence(a, b) for a, _ in old for b, _ in new}
+    said = spelled(sorted({n for n, _ in (*old, *new)}))
 
     def graph(fields: list[Field]) -> dict[str, list[tuple[str, str]]]:
         edges: dict[str, list[tuple[str, str]]] = {"in": [], "word": [], "kind": []}
         for name, kind in fields:
             node = f"f:{name}"
             edges["kind"].append((node, f"k:{kind}"))
-            edges["word"] += [(node, f"w:{w}") for w in words(name)]
+            edges["word"] += [(node, f"w:{w}") for w in said[name]]
             chain = _containers(name)
             edges["in"] += [(f"o:{c}", f"o:{p}") for p, c in zip(chain, chain[1:])] + [(node, f"o:{chain[-1]}")]
         return {k: sorted(set(v)) for k, v in edges.items()}
@@ -107,20 +125,44 @@ def flood(old: list[Field], new: list[Field]) -> dict[tuple[str, str], float]:
 
 
 @lru_cache(maxsize=4096)
-def changes(old: tuple[Field, ...], new: tuple[Field, ...]) -> tuple[tuple[str, str, str | None], ...]:
-    """(field_name, change_kind, new name) from one schema to the next; the name is the old one,
-    for added fields the new one.  A field that keeps its name keeps its identity."""
+def correspondences(old: tuple[Field, ...], new: tuple[Field, ...]) -> tuple[tuple[str, str], ...]:
+    """(old name, new name) of fields that go on under another name."""
     a, b = dict(old), dict(new)
     gone, came = sorted(set(a) - set(b)), sorted(set(b) - set(a))
-    renamed: dict[str, str] = {}
-    if gone and came:
-        likeness = flood(list(old), list(new))
-        ranked = sorted(((evidence(x, y), likeness[(x, y)], x, y) for x in gone for y in came), key=lambda r: (-r[0] * (0.5 + r[1]), r[2], r[3]))
-        used: set[str] = set()
-        for e, _, x, y in ranked:
-            if e >= EVIDENCE and x not in renamed and y not in used:
-                renamed[x] = y
-                used.add(y)
+    if not gone or not came:
+        return ()
+    both = [*old, *((y, b[y]) for y in came)]
+    likeness = flood(both, both)
+    relative = {(x, y): likeness[(x, y)] / (likeness[(x, x)] * likeness[(y, y)]) ** 0.5 for x in gone for y in came}
+    out: dict[str, str] = {}
+    # among near equals the names themselves decide
+    for x, y in sorted(relative, key=lambda p: (-relative[p] * (1 + evidence(*p)), p)):
+        if relative[(x, y)] >= ACCEPT and x not in out and y not in out.values():
+            out[x] = y
+    return tuple(out.items())
+
+
+def _alone(fields: set[str], kinds: dict[str, str]) -> dict[tuple[str, str], str]:
+    """Fields that are the only ones of their place and kind."""
+    at: dict[tuple[str, str], list[str]] = {}
+    for n in fields:
+        at.setdefault((n.rpartition(".")[0], kinds[n]), []).append(n)
+    return {k: v[0] for k, v in at.items() if len(v) == 1}
+
+
+def changes(old: tuple[Field, ...], new: tuple[Field, ...], values: tuple[dict, dict] = ({}, {})) -> list[tuple[str, str, str | None]]:
+    """(field_name, change_kind, new name) from one schema to the next; the name is the old one,
+    for added fields the new one.  A field that keeps its name keeps its identity.  ``values``:
+    for the fields of both, hashes of some of their values (the smallest ones)."""
+    a, b = dict(old), dict(new)
+    renamed = dict(correspondences(old, new))
+    gone, came = set(a) - set(b) - set(renamed), set(b) - set(a) - set(renamed.values())
+    single = _alone(came, b)
+    for place, x in _alone(gone, a).items():
+        y = single.get(place)
+        u, v = set(values[0].get(x) or ()), set(values[1].get(y) or ())
+        if y and min(len(u), len(v)) >= LEAST_VALUES and len(u & v) >= SAME_VALUES * min(len(u), len(v)) and not set(words(x)) & set(words(y)):
+            renamed[x] = y
     out: list[tuple[str, str, str | None]] = []
     for x in sorted(a):
         y = renamed.get(x, x if x in b else None)
@@ -131,5 +173,4 @@ def changes(old: tuple[Field, ...], new: tuple[Field, ...]) -> tuple[tuple[str,
             out.append((x, "renamed", y))
         if a[x] != b[y]:
             out.append((x, "retyped", y))
-    out += [(y, "added", y) for y in came if y not in renamed.values()]
-    return tuple(out)
+    return out + [(y, "added", y) for y in sorted(set(b) - set(a) - set(renamed.values()))]

@@ -12,6 +12,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": drift.p5_found,
     "p5_changes": drift.p5_changes,
     "p5_unified": drift.p5_unified,
+    "p5_lines": drift.p5_lines,
+    "p5_lost": drift.p5_lost,
     **documents.QUERIES,
     **contracts.QUERIES,
     **rankings.QUERIES,
@@ -20,4 +22,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **more.QUERIES,
     **schedule.QUERIES,
 }
-SQL: dict[str, str] = {**documents.SQL, **contracts.SQL, **rankings.SQL, **runs.SQL, **sources.SQL, **more.SQL, **schedule.SQL}
+SQL: dict[str, str] = {**drift.SQL, **documents.SQL, **contracts.SQL, **rankings.SQL, **runs.SQL, **sources.SQL, **more.SQL, **schedule.SQL}

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from typing import Any
@@ -12,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathloom.operators.flooding import EVIDENCE, changes, evidence
+from pathloom.operators.flooding import changes, spelled
 from pathloom.operators.staging import Stages
 
 KINDS = ("boolean", "number", "string", "list of strings", "list of objects")
@@ -57,11 +59,24 @@ def parse_line(text: str | None) -> dict | None:
     return o if isinstance(o, dict) else None
 
 
-_SEEN = pa.schema([("producer", pa.string()), ("file_seq", pa.int64()), ("file_id", pa.int64()), ("field", pa.string()), ("kind", pa.string()), ("n", pa.int64())])
+_SEEN = pa.schema([("producer", pa.string()), ("file_seq", pa.int64()), ("file_id", pa.int64()), ("field", pa.string()), ("kind", pa.string()), ("n", pa.int64()), ("values", pa.list_(pa.int64()))])
+#: Hashes of values that are kept of a field and file.
+SKETCH = 16
+
+
+def value_hash(value: Any) -> int | None:
+    """A hash of a text, or of the size of a number in half octaves; other values have none."""
+    if isinstance(value, bool) or not isinstance(value, (int, float, str)):
+        return None
+    if isinstance(value, str):
+        return zlib.crc32(value.encode("utf-8", "surrogatepass"))
+    if value == 0 or not math.isfinite(value):
+        return zlib.crc32(str(value).encode())
+    return zlib.crc32(f"{value > 0}:{math.floor(2 * math.log2(abs(value)))}".encode())
 
 
 def file_schemas(lines: DataFrame) -> DataFrame:
-    """The fields of each file: (producer, file_seq, file_id, fields array<struct<field, kind>>).
+    """The fields of each file: (producer, file_seq, file_id, fields array<struct<field, kind, values>>).
 
     The kind of a field is that of most of its values, equal numbers decided by the order of
     ``KINDS``.  Lines that don't parse don't count; a file without any other has no row.
@@ -71,20 +86,25 @@ def file_schemas(lines: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: Counter = Counter()
+            some: dict[tuple, set[int]] = {}
             for p, s, f, text in zip(*(batch[c].to_pylist() for c in ("producer", "file_seq", "file_id", "payload"))):
                 o = parse_line(text)
                 if o is None:
                     continue
                 seen[(p, s, f, None, None)] += 1
-                seen.update((p, s, f, name, kind) for name, v in flatten(o) if (kind := kind_of(v)))
-            rows = [(*k, n) for k, n in seen.items()]
+                for name, v in flatten(o):
+                    if kind := kind_of(v):
+                        seen[(p, s, f, name, kind)] += 1
+                        if (h := value_hash(v)) is not None:
+                            some.setdefault((p, s, f, name, kind), set()).add(h)
+            rows = [(*k, n, sorted(some.get(k, ()))[:SKETCH]) for k, n in seen.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], c.type) for i, c in enumerate(_SEEN)], schema=_SEEN)
 
     slim = lines.select("producer", F.col("file_seq").cast("long").alias("file_seq"), F.col("file_id").cast("long").alias("file_id"), F.col("payload").cast("string").alias("payload"))
-    counts = slim.mapInArrow(run, "producer string, file_seq long, file_id long, field string, kind string, n long").groupBy("producer", "file_seq", "file_id", "field", "kind").agg(F.sum("n").alias("n"))
+    counts = slim.mapInArrow(run, "producer string, file_seq long, file_id long, field string, kind string, n long, values array<long>").groupBy("producer", "file_seq", "file_id", "field", "kind").agg(F.sum("n").alias("n"), F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("values")))), 1, SKETCH).alias("values"))
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
-    main = counts.groupBy("producer", "file_seq", "file_id", "field").agg(F.max_by("kind", F.struct("n", -rank)).alias("kind"))
-    named = F.when(F.col("field").isNotNull(), F.struct("field", "kind"))
+    main = counts.groupBy("producer", "file_seq", "file_id", "field").agg(F.max_by(F.struct("kind", "values"), F.struct("n", -rank)).alias("m"))
+    named = F.when(F.col("field").isNotNull(), F.struct("field", "m.kind", "m.values"))
     return main.groupBy("producer", "file_seq", "file_id").agg(F.array_sort(F.collect_list(named)).alias("fields"))
 
 
@@ -104,7 +124,7 @@ def schema_changes(schemas: DataFrame) -> DataFrame:
             rows = []
             for f, old, new in zip(*(batch[c].to_pylist() for c in ("file_id", "before", "fields"))):
                 kinds = {x["field"]: x["kind"] for x in new}
-                found = changes(*(tuple((x["field"], x["kind"]) for x in side) for side in (old, new)))
+                found = changes(*(tuple((x["field"], x["kind"]) for x in side) for side in (old, new)), values=tuple({x["field"]: x["values"] for x in side} for side in (old, new)))
                 rows += [(f, name, change, to, kinds.get(to)) for name, change, to in found]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], c.type) for i, c in enumerate(_CHANGES)], schema=_CHANGES)
 
@@ -112,39 +132,47 @@ def schema_changes(schemas: DataFrame) -> DataFrame:
     slim = schemas.select("producer", "file_seq", "file_id").withColumn("before_id", F.lag("file_id").over(order)).where("before_id IS NOT NULL").select("file_id", "before_id")
     fields = schemas.select("file_id", "fields")
     pairs = slim.join(fields, "file_id").join(fields.select(F.col("file_id").alias("before_id"), F.col("fields").alias("before")), "before_id")
-    return pairs.where("before <> fields").select("file_id", "before", "fields").mapInArrow(run, _CHANGE)
-
-
-def unify_names(counts: dict[str, int], renames: list[tuple[str, str]], together: set[frozenset[str]]) -> dict[str, str]:
-    """The common name of each field name: the most frequent one (then the first) among those
-    linked by renames or by what their names say.  Names that occur in one file stay apart."""
+    plain = lambda c: F.transform(c, lambda x: F.struct(x["field"], x["kind"]))
+    return pairs.where(plain("before") != plain("fields")).select("file_id", "before", "fields").mapInArrow(run, _CHANGE)
+
+
+def linked_names(counts: dict[str, int], renames: list[tuple[str, str]]) -> list[list[tuple[str, str]]]:
+    """Pairs of names that may be one field, by group of linked names: renamed into each other
+    somewhere, or of the same words.  Pairs of a group are in the order in which to join them."""
+    said = spelled(sorted(counts))
+    links = [(a, b) for a, b in sorted(set(renames)) if a in counts and b in counts]
+    by_words: dict[frozenset, list[str]] = {}
+    for n in sorted(counts):
+        by_words.setdefault(frozenset(said[n]), []).append(n)
+    links += [(group[0], n) for group in by_words.values() for n in group[1:]]
     parent = {n: n for n in counts}
-    members = {n: {n} for n in counts}
 
     def find(n: str) -> str:
         while parent[n] != n:
+            parent[n] = parent[parent[n]]
             n = parent[n]
         return n
 
-    def join(a: str, b: str) -> None:
-        a, b = find(a), find(b)
+    for a, b in links:
+        parent[find(b)] = find(a)
+    groups: dict[str, list[tuple[str, str]]] = {}
+    for a, b in links:
+        groups.setdefault(find(a), []).append((a, b))
+    return list(groups.values())
+
+
+def unify_names(counts: dict[str, int], groups: list[list[tuple[str, str]]], together: set[frozenset[str]]) -> dict[str, str]:
+    """The common name of each field name: the most frequent one (then the first) among those
+    linked.  Names that occur in one file (``together``) stay apart."""
+    members = {n: {n} for n in counts}
+    of = {n: n for n in counts}
+    for a, b in (pair for g in groups for pair in g):
+        a, b = of[a], of[b]
         if a != b and not any(frozenset((x, y)) in together for x in members[a] for y in members[b]):
-            parent[b] = a
+            for x in members[b]:
+                of[x] = a
             members[a] |= members.pop(b)
-
-    for a, b in sorted(set(renames)):
-        if a in parent and b in parent:
-            join(a, b)
-    names = sorted(counts)
-    said = sorted(((evidence(a, b), a, b) for i, a in enumerate(names) for b in names[i + 1 :]), reverse=True)
-    for e, a, b in said:
-        if e >= EVIDENCE:
-            join(a, b)
-    out: dict[str, str] = {}
-    for group in members.values():
-        best = min(group, key=lambda n: (-counts[n], n))
-        out.update(dict.fromkeys(group, best))
-    return out
+    return {n: min(members[of[n]], key=lambda x: (-counts[x], x)) for n in counts}
 
 
 #: The column type of each kind.
@@ -153,12 +181,15 @@ TARGETS = {"boolean": "boolean", "number": "double", "string": "string", "list o
 TRUE, FALSE = ("true", "yes", "y", "1", "1.0"), ("false", "no", "n", "0", "0.0")
 
 
-def target_kind(kinds: Counter) -> str:
-    """The kind in which a field of several kinds is kept: a list if it is ever one, else a truth
-    value, else a number if it ever is one (texts then spell these), else a string."""
-    if any(k.startswith("list") for k in kinds):
-        return "list of strings"
-    return next(k for k in ("boolean", "number", "string") if kinds[k])
+def target_kind(kinds: Counter, fits: Counter) -> str:
+    """The kind in which a field is kept: the first of truth value, number, list and string that it
+    has somewhere and in which none of its values is lost; a string loses none.  ``kinds``: values
+    of each kind; ``fits``: values that each kind can hold."""
+    total = kinds.total()
+    for kind in ("boolean", "number", "list of strings"):
+        if any(k.split(" of ")[0] == kind.split(" of ")[0] for k in kinds) and fits[kind] == total:
+            return kind
+    return "string"
 
 
 def cast_value(value: Any, kind: str) -> Any:
@@ -183,32 +214,72 @@ def cast_value(value: Any, kind: str) -> Any:
     return value if isinstance(value, str) else json.dumps(value)
 
 
-def one_table(lines: DataFrame, keep: list[str]) -> DataFrame:
-    """All lines as one table: ``keep`` and a column per common field, dots as ``_``.
+_FITS = pa.schema([("field", pa.string()), ("kind", pa.string()), ("n", pa.int64()), ("as_boolean", pa.int64()), ("as_number", pa.int64()), ("as_list", pa.int64())])
+#: Field names of all files together; a table can't have a column for each of more.
+MAX_NAMES = 20_000
 
-    Names are unified over all files, values cast to one kind per field; values that can't be
-    cast are null.  The driver holds field names and their counts only.  Lines that don't parse
-    give no rows.  ``lines``: producer, file_seq, file_id, payload and ``keep``.
-    """
+
+def _fits(lines: DataFrame) -> DataFrame:
+    """(field, kind, n, as_boolean, as_number, as_list): values, and how many each kind could hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: dict[tuple[str, str], list[int]] = {}
+            for text in batch["payload"].to_pylist():
+                for name, v in flatten(parse_line(text) or {}):
+                    if kind := kind_of(v):
+                        c = seen.setdefault((name, kind), [0, 0, 0, 0])
+                        c[0] += 1
+                        for i, k in enumerate(("boolean", "number", "list of strings"), 1):
+                            c[i] += cast_value(v, k) is not None
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*[(*k, *c) for k, c in seen.items()]) if seen else [[]] * 6, _FITS)], schema=_FITS)
+
+    counts = [f.name for f in _FITS][2:]
+    found = lines.select(F.col("payload").cast("string").alias("payload")).mapInArrow(run, "field string, kind string, n long, as_boolean long, as_number long, as_list long")
+    return found.groupBy("field", "kind").agg(*[F.sum(c).alias(c) for c in counts])
+
+
+def common_columns(lines: DataFrame) -> tuple[dict[str, str], dict[str, str]]:
+    """The common name of each field name, and the kind of each common name.
+
+    The driver holds field names (``MAX_NAMES`` at most, else an error), renames between them and
+    which linked names share a file; never files."""
     stages = Stages(lines.sparkSession, "drifting")
     schemas = stages.put(file_schemas(lines), "schemas")
-    found = stages.put(schema_changes(schemas), "changes")
-    renames = [tuple(r) for r in found.where("change_kind = 'renamed'").select("field_name", "new_name").distinct().collect()]
-    shapes = schemas.groupBy("fields").agg(F.count(F.lit(1)).alias("n"))
-    counts: Counter = Counter()
-    kinds: dict[str, Counter] = {}
+    names = schemas.select("file_id", F.explode("fields.field").alias("field"))
+    rows = names.groupBy("field").agg(F.count(F.lit(1)).alias("n")).limit(MAX_NAMES + 1).collect()
+    if len(rows) > MAX_NAMES:
+        raise ValueError(f"more than {MAX_NAMES} field names")
+    counts = {r["field"]: r["n"] for r in rows}
+    renames = [tuple(r) for r in schema_changes(schemas).where("change_kind = 'renamed'").select("field_name", "new_name").distinct().collect()]
+    groups = linked_names(counts, renames)
+    number = {n: i for i, g in enumerate(groups) for pair in g for n in pair}
     together: set[frozenset[str]] = set()
-    for shape in shapes.toLocalIterator():
-        names = [x["field"] for x in shape["fields"]]
-        counts.update({n: shape["n"] for n in names})
-        for x in shape["fields"]:
-            kinds.setdefault(x["field"], Counter())[x["kind"]] += shape["n"]
-        together |= {frozenset((a, b)) for i, a in enumerate(names) for b in names[i + 1 :]}
-    common = unify_names(dict(counts), renames, together)
-    per: dict[str, Counter] = {}
-    for n, c in common.items():
-        per.setdefault(c, Counter()).update(kinds[n])
-    columns = {c: target_kind(k) for c, k in sorted(per.items())}
+    if number:
+        linked = lines.sparkSession.createDataFrame(sorted(number.items()), "field string, number int")
+        per = names.join(F.broadcast(linked), "field").groupBy("file_id", "number").agg(F.array_sort(F.collect_set("field")).alias("names")).where("size(names) > 1")
+        together = {frozenset((a, b)) for r in per.select("names").distinct().toLocalIterator() for i, a in enumerate(r["names"]) for b in r["names"][i + 1 :]}
+    common = unify_names(counts, groups, together)
+    kinds: dict[str, Counter] = {}
+    fits: dict[str, Counter] = {}
+    for r in _fits(lines).where(F.col("field").isNotNull()).collect():
+        c = common.get(r["field"], r["field"])
+        common.setdefault(r["field"], c)
+        kinds.setdefault(c, Counter())[r["kind"]] += r["n"]
+        fits.setdefault(c, Counter()).update({"boolean": r["as_boolean"], "number": r["as_number"], "list of strings": r["as_list"]})
+    return common, {c: target_kind(kinds[c], fits[c]) for c in sorted(kinds)}
+
+
+def one_table(lines: DataFrame, keep: list[str], kinds: dict[str, str] | None = None) -> DataFrame:
+    """All lines as one table: ``keep`` and a column per common field, dots as ``_``.
+
+    Names are unified over all files.  A column has a kind that holds all of its field's values
+    (lists and objects are JSON where only text does); ``kinds`` asks for another one (common
+    name: kind), and values that this can't hold are null here and rows of ``failed_casts``.
+    Lines that don't parse give no rows.  ``lines``: producer, file_seq, file_id, payload and ``keep``.
+    """
+    common, columns = common_columns(lines)
+    columns.update({c: k for c, k in (kinds or {}).items() if c in columns})
     label = lambda c: c.replace(".", "_")
     taken = set(keep)
     labels: dict[str, str] = {}
@@ -243,3 +314,24 @@ def one_table(lines: DataFrame, keep: list[str]) -> DataFrame:
     ddl = ", ".join([f"`{k}` {types[k]}" for k in keep] + [f"`{labels[c]}` {TARGETS[k]}" for c, k in columns.items()])
     return lines.select(*keep, "payload").mapInArrow(run, ddl)
 
+
+def failed_casts(lines: DataFrame, keep: list[str], kinds: dict[str, str]) -> DataFrame:
+    """(``keep``, field_name, kind, value): values that the asked ``kinds`` (common name: kind) can't
+    hold, under the names in their files, as JSON."""
+    common, columns = common_columns(lines)
+    columns.update({c: k for c, k in kinds.items() if c in columns})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, out = [], []
+            for i, text in enumerate(batch["payload"].to_pylist()):
+                for name, v in flatten(parse_line(text) or {}):
+                    kind = columns.get(common.get(name))
+                    if kind_of(v) and kind and cast_value(v, kind) is None:
+                        at.append(i)
+                        out.append((name, kind, json.dumps(v, sort_keys=True)))
+            base = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(base[k] for k in keep), *(pa.array([r[i] for r in out], pa.string()) for i in range(3))], names=[*keep, "field_name", "kind", "value"])
+
+    types = {f.name: f.dataType.simpleString() for f in lines.select(*keep).schema}
+    return lines.select(*keep, "payload").mapInArrow(run, ", ".join([*(f"`{k}` {types[k]}" for k in keep), "field_name string", "kind string", "value string"]))

@@ -3,7 +3,7 @@ import json
 import pytest
 
 from pathloom.operators.flooding import changes, evidence
-from pathloom.sources.drifting import cast_value, file_schemas, flatten, kind_of, one_table, schema_changes
+from pathloom.sources.drifting import cast_value, failed_casts, file_schemas, flatten, kind_of, one_table, schema_changes
 
 
 def found(old, new):
@@ -68,7 +68,27 @@ def test_changes_follow_the_order_of_files(lines):
 def test_one_table(lines):
     got = {(r.file_id, r.line_no): r for r in one_table(lines, ["file_id", "line_no"]).collect()}
     assert set(got) == {(20, 1), (10, 1), (10, 2), (50, 1), (11, 1)}
-    assert got[(10, 2)]["k"] == ["z"] and got[(20, 1)]["b"] is None and got[(50, 1)]["b"] == 4.0
+    assert got[(10, 2)]["k"] == ["z"] and got[(20, 1)]["b"] == "x" and got[(50, 1)]["b"] == "4"
+    assert got[(20, 1)]["k"] is not None and got[(10, 1)]["k"] is None
+
+
+def test_no_value_is_lost(spark):
+    rows = [("p", 1, 1, i, json.dumps({"flag": v, "n": v2, "files": v3})) for i, (v, v2, v3) in enumerate([(True, 1, ["a"]), ("skipped", "2.5", 3), (3, 7, "b, c")])]
+    df = spark.createDataFrame(rows, "producer string, file_seq int, file_id long, line_no int, payload string")
+    t = one_table(df, ["line_no"])
+    assert dict(t.dtypes) == {"line_no": "int", "flag": "string", "n": "double", "files": "string"}
+    assert [tuple(r) for r in t.select("flag", "n", "files").orderBy("line_no").collect()] == [("true", 1.0, '["a"]'), ("skipped", 2.5, "3"), ("3", 7.0, "b, c")]
+    forced = one_table(df, ["line_no"], {"files": "list of strings"})
+    assert [r.files for r in forced.orderBy("line_no").collect()] == [["a"], None, ["b", "c"]]
+    assert [tuple(r) for r in failed_casts(df, ["line_no"], {"files": "list of strings"}).collect()] == [(1, "files", "list of strings", "3")]
+
+
+def test_a_rename_without_common_words_is_told_by_values():
+    old, new = (("duration", "number"), ("id", "string")), (("elapsed", "number"), ("id", "string"))
+    same = list(range(10))
+    assert ("duration", "renamed", "elapsed") in changes(old, new, ({"duration": same}, {"elapsed": same[2:]}))
+    assert ("duration", "removed", None) in changes(old, new, ({"duration": same}, {"elapsed": range(20, 30)}))
+    assert ("duration", "removed", None) in changes(old, (*new, ("other", "number")), ({"duration": same}, {"elapsed": same, "other": same}))
 
 
 def test_empty_table(spark, lines):
