@@ -22,16 +22,29 @@ def _rebuild(path: Column) -> Column:
     return F.nullif(F.array_join(walked, "/"), F.lit(""))
 
 
+#: One of these is in every unclean path that stands between line ends; a search for them is cheap.
+_HINTS = ("\\", " ", "\t", "//", "\n/", "/\n", "./", "/.\n", "..\n", "\n.\n", "\n\n")
+
+
+def _suspect(lines: Column) -> Column:
+    between = F.concat(F.lit("\n"), lines, F.lit("\n"))
+    found = F.contains(between, F.lit(_HINTS[0]))
+    for h in _HINTS[1:]:
+        found = found | F.contains(between, F.lit(h))
+    return found
+
+
 def clean_path(path: Column) -> Column:
     """The clean form of one path: blanks and tabs around cut, ``\\`` as ``/``, empty and ``.``
     segments gone, ``..`` removing the segment before it (none: just gone); null if nothing is
     left.  Clean paths skip the rebuilding branch."""
-    return F.when(path.rlike(UNCLEAN), _rebuild(path)).otherwise(path)
+    return F.when(_suspect(path) & path.rlike(UNCLEAN), _rebuild(path)).otherwise(path)
 
 
 def clean_path_set(paths: Column) -> Column:
     """The distinct clean paths of an array of paths, without nulls; a null array stays null."""
-    dirty = F.array_join(paths, "\n").rlike(UNCLEAN_LINES)
+    lines = F.array_join(paths, "\n")
+    dirty = _suspect(lines) & lines.rlike(UNCLEAN_LINES)
     # array_except drops repeats and nulls without leaving generated code
     return F.array_except(F.when(dirty, F.transform(paths, clean_path)).otherwise(paths), F.array(F.lit(None).cast("string")))
 

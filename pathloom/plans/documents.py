@@ -55,6 +55,13 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values.join(placed, ["doc_id", "task_occ"]).select(F.col("doc_id").alias("raw_id"), F.coalesce("run_key", F.lit("")).alias("run_key"), "task_id", "field_name", "item_no")
 
 
+def p6_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each flat table, and how many of them hold a value of its main column."""
+    t = p6_tables(spark, sf_dir)
+    parts = [t[n].agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("n"), F.count(F.nullif(F.col(c), F.lit(""))).alias("with_value")) for n, c in (("metrics", "tokens_prompt"), ("artifacts", "diff_path"), ("scopes", "tier"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def p6_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per field: occurrences of objects, and distinct objects that are stored for them."""
     _, n = nested_tables(spark, sf_dir)
@@ -62,9 +69,8 @@ def p6_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PART = """SELECT raw_id, run_key, task_id, '{f}.{c}' AS field_name, i - 1 AS item_no FROM (SELECT raw_id, run_key, task_id, unnest(os) AS o, generate_subscripts(os, 1) AS i FROM (SELECT raw_id, run_key, task_id, CASE json_type(t->'{f}') WHEN 'ARRAY' THEN json_extract(t, '$.{f}[*]') WHEN 'OBJECT' THEN [t->'{f}'] ELSE [] END AS os FROM task)) WHERE json_type(o) = 'OBJECT' AND coalesce(o->>'{c}', '') <> ''"""
-QUERIES = {"p6_found": p6_found, "p6_objects": p6_objects}
-SQL = {
-    "p6_found": """WITH d AS (SELECT raw_id, body::JSON AS b FROM (SELECT *, row_number() OVER (PARTITION BY raw_id ORDER BY landed_at DESC) rn FROM raw_documents WHERE raw_id IS NOT NULL) WHERE rn = 1 AND json_valid(body)),
+QUERIES = {"p6_found": p6_found, "p6_objects": p6_objects, "p6_rows": p6_rows}
+_TASKS = """WITH d AS (SELECT raw_id, body::JSON AS b FROM (SELECT *, row_number() OVER (PARTITION BY raw_id ORDER BY landed_at DESC) rn FROM raw_documents WHERE raw_id IS NOT NULL) WHERE rn = 1 AND json_valid(body)),
 n AS (SELECT raw_id, b, unnest(json_keys(b, '$.strategies')) AS name FROM d WHERE json_type(b->'strategies') = 'OBJECT'),
 run AS (SELECT raw_id, coalesce(b->>'strategy', '') AS run_key, b->'tasks' AS ts FROM d WHERE json_exists(b, '$.tasks') UNION ALL SELECT raw_id, coalesce(r->>'strategy', name), r->'tasks' FROM (SELECT raw_id, name, json_extract(b, '$.strategies."' || name || '"') AS r FROM n)),
 lone AS (SELECT *, json_exists(ts, '$.task_id') OR json_exists(ts, '$.id') AS lone FROM run WHERE json_type(ts) = 'OBJECT'),
@@ -72,5 +78,11 @@ filed AS (SELECT raw_id, run_key, ts, unnest(json_keys(ts)) AS name FROM lone WH
 one AS (SELECT raw_id, run_key, NULL AS name, unnest(json_extract(ts, '$[*]')) AS t FROM run WHERE json_type(ts) = 'ARRAY' UNION ALL SELECT raw_id, run_key, NULL, ts FROM lone WHERE lone UNION ALL SELECT raw_id, run_key, name, json_extract(ts, '$."' || name || '"') FROM filed),
 task AS (SELECT raw_id, run_key, coalesce(t->>'task_id', t->>'id', name) AS task_id, t FROM one WHERE json_type(t) = 'OBJECT')
 """
-    + " UNION ALL ".join(_PART.format(f=f, c=c) for f, c in (("metrics", "tokens_prompt"), ("artifacts", "diff_path"), ("file_scopes", "tier"))),
+SQL = {
+    "p6_found": _TASKS + " UNION ALL ".join(_PART.format(f=f, c=c) for f, c in (("metrics", "tokens_prompt"), ("artifacts", "diff_path"), ("file_scopes", "tier"))),
+    "p6_rows": _TASKS
+    + " UNION ALL ".join(
+        _PART.format(f=f, c=c).replace("SELECT raw_id, run_key, task_id, '" + f + "." + c + "' AS field_name, i - 1 AS item_no FROM", f"SELECT '{n}' AS name, count(*) AS n, count(nullif(o->>'{c}', '')) AS with_value FROM", 1).replace(f" AND coalesce(o->>'{c}', '') <> ''", "")
+        for n, f, c in (("metrics", "metrics", "tokens_prompt"), ("artifacts", "artifacts", "diff_path"), ("scopes", "file_scopes", "tier"))
+    ),
 }

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.operators.staging import Stages
+from pathloom.operators.staging import Stages, broadcast_if_small
 
 OCCURRENCES = "doc_id long, occ int, parent int, field string, name string, ordinal int, listed boolean, node string"
 _OCC = pa.schema([("doc_id", pa.int64()), ("occ", pa.int32()), ("parent", pa.int32()), ("field", pa.string()), ("name", pa.string()), ("ordinal", pa.int32()), ("listed", pa.bool_()), ("node", pa.string()), ("content", pa.string())])
@@ -70,7 +70,8 @@ def _walk(root: dict, maps: dict[str, tuple[str, ...]]) -> list[tuple]:
 
 
 def parse_nested(documents: DataFrame, doc_id: str, body: str, maps: dict[str, tuple[str, ...]]) -> DataFrame:
-    """One row per occurrence of an object: ``OCCURRENCES`` and its ``content`` (the scalars as JSON).
+    """One row per occurrence of an object: ``OCCURRENCES`` and its ``content`` (the scalars as JSON),
+    which only the first of equal objects in a batch carries.
 
     ``maps``: fields whose object may file members by name instead of being a member, with the
     keys that mark a lone member.  ``parent`` is -1 for the document; ``ordinal`` is the place in
@@ -80,6 +81,7 @@ def parse_nested(documents: DataFrame, doc_id: str, body: str, maps: dict[str, t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            known: set[str] = set()
             for lo in range(0, batch.num_rows, 256):
                 cols: list[list] = [[] for _ in _OCC]
                 part = batch.slice(lo, 256)
@@ -91,6 +93,9 @@ def parse_nested(documents: DataFrame, doc_id: str, body: str, maps: dict[str, t
                     if not isinstance(root, dict):
                         continue
                     for row in _walk(root, maps):
+                        if row[6] in known:
+                            row = (*row[:7], None)
+                        known.add(row[6])
                         for c, v in zip(cols, (i, *row)):
                             c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _OCC)], schema=_OCC)
@@ -106,16 +111,14 @@ class NestedTables:
     def __init__(self, documents: DataFrame, doc_id: str, body: str, maps: dict[str, tuple[str, ...]]):
         stages = Stages(documents.sparkSession, "nested")
         parsed = stages.put(parse_nested(documents, doc_id, body, maps), "parsed")
-        self.nodes = parsed.groupBy("node").agg(F.first("content").alias("content"))
+        self.nodes = stages.put(parsed.where("content IS NOT NULL").groupBy("node").agg(F.first("content").alias("content")), "nodes")
         self.bridge = parsed.select("doc_id", "occ", "parent", "field", "name", "ordinal", "listed", "node")
-        self._parsed = parsed
+        self._values = broadcast_if_small(self.nodes)
 
-    def table(self, field: str, columns: dict[str, str], parent: str | None = None) -> DataFrame:
+    def table(self, field: str, columns: dict[str, str]) -> DataFrame:
         """The occurrences of objects in ``field`` with some of their scalars: (doc_id, occ, parent,
         name, ordinal, listed, node, *columns).  ``columns``: SQL name to JSON key; values are
-        JSON texts for lists and plain texts otherwise.  The scalars come from ``nodes``: each
-        distinct object is parsed once."""
-        here = self.bridge.where(F.col("field") == field)
-        wanted = self._parsed.where(F.col("field") == field).groupBy("node").agg(F.first("content").alias("content"))
-        values = wanted.select("node", *[F.get_json_object("content", f"$['{key}']").alias(c) for c, key in columns.items()])
-        return here.join(values, "node").select("doc_id", "occ", "parent", "name", "ordinal", "listed", "node", *columns)
+        JSON texts for lists and plain texts otherwise.  The scalars come from ``nodes``, where
+        each distinct object is stored once."""
+        here = self.bridge.where(F.col("field") == field).join(self._values, "node")
+        return here.select("doc_id", "occ", "parent", "name", "ordinal", "listed", "node", *[F.get_json_object("content", f"$['{key}']").alias(c) for c, key in columns.items()])
