@@ -22,14 +22,24 @@ from pathloom.operators.staging import Stages, broadcast_if_small
 BLOCK, HEAVY_SHARE = 8192, 1 / 64
 #: Pairs of light items held at once while a block is counted.
 _AT_ONCE = 4_000_000
+#: Of the arrays of counted pairs, how many are looked at to see that a block holds enough.
+_RECENT = 8
 
 
-def _count_block(rec: np.ndarray, item: np.ndarray, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (a, b, records) of one block; entries are distinct (rec, item)."""
+def _count_block(rec: np.ndarray, item: np.ndarray, heavy: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs (a, b, records) of one block, a pair in one part or several whose counts add up;
+    entries are distinct (rec, item)."""
     _, rec = np.unique(rec, return_inverse=True)
     items, code = np.unique(item, return_inverse=True)
     n_rec, n_item = int(rec.max()) + 1, len(items)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def done() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, b, n = (np.concatenate(x) for x in zip(*out))
+        out.clear()
+        a, b = items[a], items[b]
+        return np.minimum(a, b), np.maximum(a, b), n.astype(np.int64)
+
     hcodes = np.unique(code[heavy])
     words = (n_rec + 63) // 64
     if len(hcodes):
@@ -70,15 +80,13 @@ def _count_block(rec: np.ndarray, item: np.ndarray, heavy: np.ndarray) -> tuple[
             if held > _AT_ONCE:
                 flush()
                 pending, held = [], 0
+            if sum(len(n) for *_, n in out[-_RECENT:]) > _AT_ONCE:  # parts of the answer leave before more are made
+                yield done()
             d += 1
         if pending:
             flush()
-    if not out:
-        e = np.empty(0, np.int64)
-        return e, e, e
-    a, b, n = (np.concatenate(x) for x in zip(*out))
-    a, b = items[a], items[b]
-    return np.minimum(a, b), np.maximum(a, b), n.astype(np.int64)
+    if out:
+        yield done()
 
 
 _PAIRS = pa.schema([("gid", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
@@ -89,10 +97,10 @@ def _count_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     held: list[pa.RecordBatch] = []
     at = None
 
-    def count(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    def count(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(parts)
-        a, b, n = _count_block(*(t[c].to_numpy() for c in ("rec", "item", "heavy")))
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), at[0])), pa.array(a), pa.array(b), pa.array(n)], schema=_PAIRS)
+        for a, b, n in _count_block(*(t[c].to_numpy() for c in ("rec", "item", "heavy"))):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), at[0])), pa.array(a), pa.array(b), pa.array(n)], schema=_PAIRS)
 
     for batch in batches:
         if not batch.num_rows:
@@ -102,12 +110,12 @@ def _count_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for lo, hi in zip([0, *cuts], [*cuts, len(gid)]):
             key = (gid[lo], block[lo])
             if key != at and held:
-                yield count(held)
+                yield from count(held)
                 held = []
             at = key
             held.append(batch.slice(lo, hi - lo))
     if held:
-        yield count(held)
+        yield from count(held)
 
 
 def cooccurrence(records: DataFrame, groups: list[str], items: str, min_count: int = 1, min_lift: float = 0.0) -> DataFrame:
@@ -141,18 +149,22 @@ def cooccurrence(records: DataFrame, groups: list[str], items: str, min_count: i
             break
     else:
         raise RuntimeError("items with the same hash under every seed")
-    ids = kept.select("g", "gid", "item", "id", (F.col("n_a") >= F.col("n") * HEAVY_SHARE).alias("heavy"), F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    coded = entries.join(broadcast_if_small(ids, n_items), ["g", "item"])
+    # what is known of an item here has a fixed size: it is found by hashes, not by its text
+    second = F.xxhash64(F.lit(99), "item")
+    ids = kept.select("gid", "id", second.alias("id2"), (F.col("n_a") >= F.col("n") * HEAVY_SHARE).alias("heavy"), F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    hashed = entries.select(F.xxhash64("g").alias("gid"), F.xxhash64("item", F.lit(seed)).alias("id"), second.alias("id2"), "rec")
+    coded = hashed.join(broadcast_if_small(ids, n_items), ["gid", "id", "id2"])
     blocks = coded.select("gid", F.pmod(F.xxhash64("rec"), F.col("blocks")).alias("block"), "rec", F.col("id").alias("item"), "heavy")
     # (gid, block) holds BLOCK records or so, however large the group is
     parts = blocks.repartition("gid", "block").sortWithinPartitions("gid", "block")
     pairs = parts.mapInArrow(_count_blocks, "gid long, a long, b long, n long")
     together = pairs.groupBy("gid", "a", "b").agg(F.sum("n").alias("n_ab")).where(F.col("n_ab") >= min_count)
-    one = kept.select("gid", F.col("id").alias("a"), F.col("item").alias("x"), F.col("n_a").alias("n_x"), "n", "g")
-    two = kept.select("gid", F.col("id").alias("b"), F.col("item").alias("y"), F.col("n_a").alias("n_y"))
-    named = together.join(broadcast_if_small(one, n_items), ["gid", "a"]).join(broadcast_if_small(two, n_items), ["gid", "b"])
+    # counts go on first; names only to the pairs that are kept, by a join that Spark sizes
+    seen = lambda k, n, *more: kept.select("gid", F.col("id").alias(k), F.col("n_a").alias(n), *more)
+    lifted = together.join(broadcast_if_small(seen("a", "n_x", "n"), n_items), ["gid", "a"]).join(broadcast_if_small(seen("b", "n_y"), n_items), ["gid", "b"])
     if min_lift > 0:
-        named = named.where(F.col("n_ab") * F.col("n") >= F.lit(float(min_lift)) * F.col("n_x") * F.col("n_y"))
+        lifted = lifted.where(F.col("n_ab") * F.col("n") >= F.lit(float(min_lift)) * F.col("n_x") * F.col("n_y"))
+    named = lifted.join(kept.select("gid", F.col("id").alias("a"), F.col("item").alias("x"), "g"), ["gid", "a"]).join(kept.select("gid", F.col("id").alias("b"), F.col("item").alias("y")), ["gid", "b"])
     first = F.col("x") < F.col("y")
     pick = lambda p, q: F.when(first, F.col(p)).otherwise(F.col(q))
     return named.select(

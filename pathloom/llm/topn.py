@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathloom.llm.tables import ident as hashed
 from pathloom.operators.staging import Stages, broadcast_if_small
 
 #: Midpoints of a pass and group.
@@ -22,30 +23,34 @@ HOT_BUCKETS, HOT_SHARE = 4096, 0.01
 SALTS = 32
 #: Bytes of an identifier that make up a code.
 CODE_BYTES = 6
+#: Groups are told by 128 bits of hash, so what is known of them has a fixed size.
+_G = ["g0", "g1"]
 
 
-def hot_buckets(df: DataFrame, keys: list[str], share: float = HOT_SHARE, buckets: int = HOT_BUCKETS) -> list[int]:
-    """The hash buckets of ``keys`` that hold more than ``share`` of all rows: at most 1 / share."""
-    counts = df.groupBy(F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()
-    total = sum(r["n"] for r in counts)
-    return sorted(r["b"] for r in counts if r["n"] > max(share * total, 50_000))
+def hot_buckets(items: DataFrame, share: float = HOT_SHARE, buckets: int = HOT_BUCKETS) -> tuple[list[int], list[int]]:
+    """The hash buckets of (group, identifier) and of groups that hold more than ``share`` of all
+    rows: at most 1 / share of each."""
+    of = lambda *c: F.pmod(F.xxhash64(*c), F.lit(buckets)).cast("int")
+    both = F.explode(F.array(F.struct(F.lit(0).alias("k"), of(*_G, "id").alias("b")), F.struct(F.lit(1).alias("k"), of(*_G).alias("b"))))
+    counts = items.select(both.alias("x")).groupBy("x.k", "x.b").agg(F.count(F.lit(1)).alias("n")).collect()
+    total = sum(r["n"] for r in counts if r["k"])
+    return tuple(sorted(r["b"] for r in counts if r["k"] == k and r["n"] > max(share * total, 50_000)) for k in (0, 1))
 
 
 def best_of_repeats(items: DataFrame) -> DataFrame:
-    """One row (g, score, id) per group and identifier, with its highest score; spread by group,
-    hot groups over salts; (g, salt) is the partitioning of the result."""
-    pairs = hot_buckets(items, ["g", "id"])
-    groups = hot_buckets(items, ["g"])
+    """One row (g0, g1, g, score, id) per group and identifier, with its highest score; spread by
+    group, hot groups over salts."""
+    pairs, groups = hot_buckets(items)
     if pairs:  # an identifier sent very often in one group is combined before it travels
-        often = F.pmod(F.xxhash64("g", "id"), F.lit(HOT_BUCKETS)).isin(pairs)
-        first = items.where(often).groupBy("g", "id").agg(F.max("score").alias("score")).select("g", "id", "score")
-        items = items.where(~often).select("g", "id", "score").unionByName(first)
+        often = F.pmod(F.xxhash64(*_G, "id"), F.lit(HOT_BUCKETS)).isin(pairs)
+        first = items.where(often).groupBy(*_G, "id").agg(F.max("score").alias("score"), F.first("g").alias("g")).select(*_G, "g", "id", "score")
+        items = items.where(~often).select(*_G, "g", "id", "score").unionByName(first)
     salt = F.lit(0)
     if groups:
-        hot = F.pmod(F.xxhash64("g"), F.lit(HOT_BUCKETS)).isin(groups)
+        hot = F.pmod(F.xxhash64(*_G), F.lit(HOT_BUCKETS)).isin(groups)
         salt = F.when(hot, F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
-    spread = items.select("g", "id", "score", salt.alias("salt")).repartition("g", "salt")
-    return spread.groupBy("g", "salt", "id").agg(F.max("score").alias("score"))
+    spread = items.select(*_G, "g", "id", "score", salt.alias("salt")).repartition(*_G, "salt")
+    return spread.groupBy(*_G, "salt", "id").agg(F.max("score").alias("score"), F.first("g").alias("g"))
 
 
 def _score_cell(score: Column, lo: Column, hi: Column, points: int) -> Column:
@@ -85,26 +90,26 @@ def top_n(items: DataFrame, n: int, group: str = "g", score: str = "score", iden
     stages = Stages(items.sparkSession, "topn")
     big = 1.7976931348623157e308
     value = F.col(score).cast("double")
-    rows = items.select(F.col(group).alias("g"), F.col(ident).alias("id"), F.greatest(F.least(value, F.lit(big)), F.lit(-big)).alias("score")).where(
+    rows = items.select(*hashed(F.col(group), names=_G), F.col(group).alias("g"), F.col(ident).alias("id"), F.greatest(F.least(value, F.lit(big)), F.lit(-big)).alias("score")).where(
         F.col("g").isNotNull() & F.col("id").isNotNull() & value.isNotNull() & ~F.isnan(value)
     )
     if n <= 0:
-        return rows.limit(0)
-    active = stages.put(best_of_repeats(rows).select("g", "id", "score"), "items")
+        return rows.limit(0).select("g", "id", "score")
+    active = stages.put(best_of_repeats(rows).select(*_G, "g", "id", "score"), "items")
     span = active.agg(F.min("score").alias("lo"), F.max("score").alias("hi")).first()
     if span["lo"] is None:
-        return active
+        return active.select("g", "id", "score")
     taken, waiting, owed = [], [], []
     state, going, k = None, 0, 0
     measures = [F.count(F.lit(1)).alias("n"), F.min("score").alias("lo"), F.max("score").alias("hi")]
     while True:
         if state is None:  # all groups split the same interval first, so this pass needs no state
             celled = active.withColumn("cell", _score_cell(F.col("score"), F.lit(span["lo"]), F.lit(span["hi"]), points))
-            counts = celled.groupBy("g", "cell").agg(*measures).withColumn("need", F.lit(n).cast("long"))
+            counts = celled.groupBy(*_G, "cell").agg(*measures).withColumn("need", F.lit(n).cast("long"))
         else:
-            celled = active.join(broadcast_if_small(state.select("g", "lo", "hi"), going), "g")
+            celled = active.join(broadcast_if_small(state.select(*_G, "lo", "hi"), going), _G)
             celled = celled.withColumn("cell", _score_cell(F.col("score"), F.col("lo"), F.col("hi"), points)).drop("lo", "hi")
-            counts = celled.groupBy("g", "cell").agg(*measures).join(broadcast_if_small(state.select("g", "need"), going), "g")
+            counts = celled.groupBy(*_G, "cell").agg(*measures).join(broadcast_if_small(state.select(*_G, "need"), going), _G)
         state, won, active, going = _settle(stages, celled, counts, ["lo", "hi"], k)
         taken.append(won)
         if not going:
@@ -113,17 +118,17 @@ def top_n(items: DataFrame, n: int, group: str = "g", score: str = "score", iden
         going_on = state.count()
         # groups that are down to one score wait for the identifiers
         if going_on < going:
-            few = broadcast_if_small(tied.select("g"), going - going_on)
-            waiting.append(active.join(few, "g", "left_semi") if going_on else active)
-            owed.append(tied.select("g", "need"))
+            few = broadcast_if_small(tied.select(*_G), going - going_on)
+            waiting.append(active.join(few, _G, "left_semi") if going_on else active)
+            owed.append(tied.select(*_G, "need"))
         if not going_on:
             break
         if going_on < going:
-            active = active.join(broadcast_if_small(state.select("g"), going_on), "g", "left_semi")
+            active = active.join(broadcast_if_small(state.select(*_G), going_on), _G, "left_semi")
         going, k = going_on, k + 1
     if waiting:
         taken += _by_identifier(stages, _union(waiting), _union(owed), points)
-    return _union(taken)
+    return _union(taken).select("g", "id", "score")
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -137,16 +142,16 @@ def _settle(stages: Stages, celled: DataFrame, counts: DataFrame, keep: list[str
     """Of each group the part in which it fills up (``cut``): parts before it are taken, those
     after it dropped; it is taken too if that fits exactly.  Gives the state of the groups that
     go on, the taken items, the items that go on and the number of groups that do."""
-    run = F.sum("n").over(Window.partitionBy("g").orderBy("cell"))
+    run = F.sum("n").over(Window.partitionBy(*_G).orderBy("cell"))
     at = counts.withColumn("upto", run).withColumn("before", F.col("upto") - F.col("n"))
     # the last part that starts before the group is full
     last = F.max_by(F.struct("cell", "upto", "before", "need", *keep), "cell")
-    cut = at.where("before < need").groupBy("g").agg(last.alias("c")).select("g", "c.*")
-    decided = stages.put(cut.select("g", F.col("cell").alias("cut"), (F.col("upto") <= F.col("need")).alias("whole"), (F.col("need") - F.col("before")).alias("need"), *keep), f"cuts{k}")
-    sized = broadcast_if_small(decided.select("g", "cut", "whole"))
-    split = celled.join(sized, "g").where("cell <= cut").withColumn("won", (F.col("cell") < F.col("cut")) | F.col("whole"))
-    split = stages.put(split.select("g", "id", "score", "won"), f"split{k}")
-    state = decided.where("NOT whole").select("g", "need", *keep)
+    cut = at.where("before < need").groupBy(*_G).agg(last.alias("c")).select(*_G, "c.*")
+    decided = stages.put(cut.select(*_G, F.col("cell").alias("cut"), (F.col("upto") <= F.col("need")).alias("whole"), (F.col("need") - F.col("before")).alias("need"), *keep), f"cuts{k}")
+    sized = broadcast_if_small(decided.select(*_G, "cut", "whole"))
+    split = celled.join(sized, _G).where("cell <= cut").withColumn("won", (F.col("cell") < F.col("cut")) | F.col("whole"))
+    split = stages.put(split.select(*_G, "g", "id", "score", "won"), f"split{k}")
+    state = decided.where("NOT whole").select(*_G, "need", *keep)
     return state, split.where("won").drop("won"), split.where("NOT won").drop("won"), state.count()
 
 
@@ -157,16 +162,16 @@ def _by_identifier(stages: Stages, active: DataFrame, owed: DataFrame, points: i
     going, k = state.count(), 100
     while going:
         few = broadcast_if_small(state, going)
-        ends = active.groupBy("g").agg(F.min("id").alias("first"), F.max("id").alias("last")).join(few, "g")
+        ends = active.groupBy(*_G).agg(F.min("id").alias("first"), F.max("id").alias("last")).join(few, _G)
         ends = ends.withColumn("skip", _common(F.col("first"), F.col("last"), F.col("skip")))
-        ends = ends.select("g", "need", "skip", _code(F.col("first"), F.col("skip")).alias("c0"), _code(F.col("last"), F.col("skip")).alias("c1"))
+        ends = ends.select(*_G, "need", "skip", _code(F.col("first"), F.col("skip")).alias("c0"), _code(F.col("last"), F.col("skip")).alias("c1"))
         ends = stages.put(ends, f"ends{k}")
-        celled = active.join(broadcast_if_small(ends.drop("need"), going), "g")
+        celled = active.join(broadcast_if_small(ends.drop("need"), going), _G)
         f = F.try_divide((_code(F.col("id"), F.col("skip")) - F.col("c0")).cast("double"), (F.col("c1") - F.col("c0")).cast("double"))
-        celled = celled.withColumn("cell", F.coalesce(F.least(F.floor(f * (points + 1)), F.lit(points)), F.lit(0)).cast("int")).select("g", "id", "score", "cell")
+        celled = celled.withColumn("cell", F.coalesce(F.least(F.floor(f * (points + 1)), F.lit(points)), F.lit(0)).cast("int")).select(*_G, "g", "id", "score", "cell")
         # where all codes are equal, the next pass starts behind them
-        onward = ends.select("g", "need", (F.col("skip") + F.when(F.col("c0") == F.col("c1"), CODE_BYTES).otherwise(0)).alias("skip"))
-        counts = celled.groupBy("g", "cell").agg(F.count(F.lit(1)).alias("n")).join(broadcast_if_small(onward, going), "g")
+        onward = ends.select(*_G, "need", (F.col("skip") + F.when(F.col("c0") == F.col("c1"), CODE_BYTES).otherwise(0)).alias("skip"))
+        counts = celled.groupBy(*_G, "cell").agg(F.count(F.lit(1)).alias("n")).join(broadcast_if_small(onward, going), _G)
         state, won, active, going = _settle(stages, celled, counts, ["skip"], k)
         taken.append(won)
         k += 1

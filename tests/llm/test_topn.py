@@ -34,7 +34,7 @@ def test_equals_sorting(spark, n, points):
 
 
 def test_hot_groups_and_identifiers_are_spread(spark, monkeypatch):
-    monkeypatch.setattr(T, "hot_buckets", lambda df, keys, **kw: list(range(T.HOT_BUCKETS)))
+    monkeypatch.setattr(T, "hot_buckets", lambda items, **kw: (list(range(T.HOT_BUCKETS)), list(range(T.HOT_BUCKETS))))
     rows = [("a", i % 3 / 2, f"p{i % 20}") for i in range(200)] + [("b", 0.5, "q")]
     assert got(spark, rows, 5) == brute(rows, 5)
 
