@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pathloom.plans import contracts, documents, drift, more, rankings, runs, schedule, sources
+from pathloom.plans import contracts, documents, drift, more, rankings, runs, schedule, sources, summary, symbols, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": drift.p5_found,
@@ -21,5 +21,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **sources.QUERIES,
     **more.QUERIES,
     **schedule.QUERIES,
+    **texts.QUERIES,
+    **summary.QUERIES,
+    **symbols.QUERIES,
 }
-SQL: dict[str, str] = {**drift.SQL, **documents.SQL, **contracts.SQL, **rankings.SQL, **runs.SQL, **sources.SQL, **more.SQL, **schedule.SQL}
+SQL: dict[str, str] = {**drift.SQL, **documents.SQL, **contracts.SQL, **rankings.SQL, **runs.SQL, **sources.SQL, **more.SQL, **schedule.SQL, **texts.SQL, **summary.SQL, **symbols.SQL}
