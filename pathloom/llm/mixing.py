@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from pathloom.operators.staging import Stages
 
-#: Blocks of a source, tokens of a shard, and shards at most.
-BLOCKS, SHARD_TOKENS, MAX_SHARDS = 1024, 4_000_000, 4096
+#: Blocks of a source at least, blocks to a shard of the output, and tokens of a shard.
+BLOCKS, BLOCKS_PER_SHARD, SHARD_TOKENS = 1024, 4, 4_000_000
 
 
 def split_tree(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
@@ -46,7 +46,7 @@ def quotas(targets: list[tuple[str, float, int]], available: dict[str, int]) ->
     return total, {s: (w / weight, total * w / weight) for s, w in usable.items()}
 
 
-def mix(documents: DataFrame, doc_id: str, source: str, size: str, targets: list[tuple[str, float, int]], seed: int = 0, blocks: int = BLOCKS, shard_tokens: int = SHARD_TOKENS) -> tuple[DataFrame, DataFrame]:
+def mix(documents: DataFrame, doc_id: str, source: str, size: str, targets: list[tuple[str, float, int]], seed: int = 0, blocks: int | None = None, shard_tokens: int = SHARD_TOKENS) -> tuple[DataFrame, DataFrame]:
     """Draw documents so that every source has its share of the total size.
 
     ``targets``: (source, weight, repeats at most); weights need not sum to 1, weights of a source
@@ -55,7 +55,9 @@ def mix(documents: DataFrame, doc_id: str, source: str, size: str, targets: list
     report per target (source, target_share, share, tokens, actual_share, documents, max_copies).
     Documents with a null key, source or without size are not drawn.  A source's size misses its
     quota by at most one document; ``copy_no`` of a document is below the source's repeats.  The
-    driver holds numbers per block: ``blocks`` for each source.
+    driver holds numbers per block.  Blocks follow the data (``BLOCKS_PER_SHARD`` for every
+    ``shard_tokens`` of the largest source) unless ``blocks`` says how many a source has, so neither a
+    shard nor a block grows with it.
     """
     spark = documents.sparkSession
     stages = Stages(spark, "mixing")
@@ -68,13 +70,13 @@ def mix(documents: DataFrame, doc_id: str, source: str, size: str, targets: list
     key = F.xxhash64(F.lit(seed), F.col("doc_id"))
     base = documents.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(size).cast("long").alias("n_tokens"))
     base = base.where(F.col("doc_id").isNotNull() & (F.col("n_tokens") > 0) & F.col("source").isin(names or [""]))
-    base = stages.put(base.withColumn("block", F.pmod(key, F.lit(blocks)).cast("int")), "documents")
-    sizes = {(r["source"], r["block"]): (r["t"], r["n"]) for r in base.groupBy("source", "block").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()}
-    available: dict[str, int] = {}
-    for (s, _), (t, _) in sizes.items():
-        available[s] = available.get(s, 0) + t
+    base = stages.put(base, "sized")
+    available = {r["source"]: r["t"] for r in base.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}
     total, goal = quotas(targets, available)
-    shards = int(min(MAX_SHARDS, max(1, math.ceil(total / shard_tokens))))
+    shards = max(1, math.ceil(total / shard_tokens))
+    blocks = blocks or max(BLOCKS, BLOCKS_PER_SHARD * math.ceil(max(available.values(), default=0) / shard_tokens))
+    base = base.withColumn("block", F.pmod(key, F.lit(blocks)).cast("int"))
+    sizes = {(r["source"], r["block"]): (r["t"], r["n"]) for r in base.groupBy("source", "block").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()}
     rng = np.random.default_rng(seed)
     # the blocks taken of each source and copy, and the one that is taken in part
     taken: list[tuple[str, int, int]] = []

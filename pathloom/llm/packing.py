@@ -11,10 +11,10 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathloom.operators.staging import Stages
+from pathloom.operators.staging import Stages, broadcast_if_small
 
 #: Partitions over which the ranks of items of one length are counted.
 RANK_PARTS = 256
@@ -82,21 +82,27 @@ def plan(histogram: dict[int, int], capacity: int) -> tuple[list[Run], int]:
     return runs, opened
 
 
-def _ranked(pieces: DataFrame, stages: Stages) -> DataFrame:
-    """``rank`` of each piece within its length, from 0.  Pieces of a length are spread over
-    RANK_PARTS parts, which are ranked apart and put behind each other by their counts."""
-    from pyspark.sql import Window
+def ranked_sizes(items: DataFrame, doc_id: str, size: str, stages: Stages) -> DataFrame:
+    """(doc_id, n, rank): items with their place among those of equal size, from 0.
 
-    spread = stages.put(pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(RANK_PARTS)).cast("int")), "pieces")
-    counts = spread.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).drop("n")
-    inside = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece_no")) - 1
-    return spread.withColumn("inside", inside).join(before, ["length", "part"]).select("doc_id", "piece_no", "start_token", "length", (F.col("before") + F.col("inside")).alias("rank"))
+    Items of a size are spread over RANK_PARTS parts, which are ranked apart and put behind each
+    other by their counts.  One ranking serves every capacity."""
+    base = items.select(F.col(doc_id).alias("doc_id"), F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0)).alias("n"))
+    spread = stages.put(base.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(RANK_PARTS)).cast("int")), "items")
+    counts = spread.groupBy("n", "part").agg(F.count(F.lit(1)).alias("c"))
+    before = counts.withColumn("before", F.sum("c").over(Window.partitionBy("n").orderBy("part")) - F.col("c")).drop("c")
+    inside = F.row_number().over(Window.partitionBy("n", "part").orderBy("doc_id")) - 1
+    return stages.put(spread.withColumn("inside", inside).join(before, ["n", "part"]).select("doc_id", "n", (F.col("before") + F.col("inside")).alias("rank")), "ranked")
 
 
 def pack(items: DataFrame, doc_id: str, size: str, capacity: int) -> tuple[DataFrame, DataFrame]:
-    """Which items go to which container: (container_id, doc_id, piece_no, start_token, n_tokens),
-    and a report of one row: (capacity, items, pieces, containers, tokens, filled).
+    """``pack_all`` for one capacity."""
+    return pack_all(items, doc_id, size, [capacity])[0]
+
+
+def pack_all(items: DataFrame, doc_id: str, size: str, capacities: list[int]) -> list[tuple[DataFrame, DataFrame]]:
+    """For each capacity, which items go to which container: (container_id, doc_id, piece_no,
+    start_token, n_tokens), and a report of one row: (capacity, items, pieces, containers, tokens, filled).
 
     An item larger than the capacity is cut into pieces: full ones, which have a container each,
     and the rest, which is placed like an item; others are never cut.  Items without size (null,
@@ -104,43 +110,39 @@ def pack(items: DataFrame, doc_id: str, size: str, capacity: int) -> tuple[DataF
     Item keys are unique; repeated ones are placed as often as they occur, in the same slots'
     order.  An empty table gives no rows and 0 containers.  The driver holds counts per length:
     ``capacity`` numbers at most.
+
+    Items are ranked within their size once.  What is left of an item after its full pieces
+    stands, among all pieces of that length, behind those of smaller items, so its rank there
+    follows from the histogram of sizes, which joins the items without moving them.
     """
-    spark = items.sparkSession
-    stages = Stages(spark, "packing")
-    base = stages.put(items.select(F.col(doc_id).alias("doc_id"), F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0)).alias("n")), "items")
-    cap = F.lit(int(capacity))
-    rest = base.where("n > 0").withColumn("full", F.floor(F.col("n") / cap)).withColumn("length", F.col("n") - F.col("full") * cap)
-    ends = rest.where("length > 0").select("doc_id", F.col("full").cast("int").alias("piece_no"), (F.col("full") * cap).alias("start_token"), "length")
-    ranked = stages.put(_ranked(ends, stages), "ranked")
-    histogram = {r["length"]: r["n"] for r in ranked.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    runs, opened = plan(histogram, int(capacity))
+    stages = Stages(items.sparkSession, "packing")
+    ranked = ranked_sizes(items, doc_id, size, stages)
+    sizes = stages.put(ranked.groupBy("n").agg(F.count(F.lit(1)).alias("c")), "sizes")
+    return [_packed(ranked, sizes, int(c), stages) for c in capacities]
+
+
+def _packed(ranked: DataFrame, sizes: DataFrame, capacity: int, stages: Stages) -> tuple[DataFrame, DataFrame]:
+    spark, cap = ranked.sparkSession, F.lit(capacity)
+    h = sizes.where("n > 0").withColumn("full", F.floor(F.col("n") / cap)).withColumn("length", F.col("n") - F.col("full") * cap)
+    offset = F.sum("c").over(Window.partitionBy("length").orderBy("n")) - F.col("c")
+    cut = F.when(F.col("full") > 0, F.col("full") * F.col("c")).otherwise(F.lit(0))
+    # sizes above the capacity, of which there are few, are put behind each other
+    behind = F.sum(cut).over(Window.partitionBy(F.col("full") > 0).orderBy("n")) - cut
+    h = stages.put(h.select("n", "c", "full", "length", offset.alias("offset"), behind.alias("behind")), "lengths")
+    histogram = {r["length"]: r["c"] for r in h.where("length > 0").groupBy("length").agg(F.sum("c").alias("c")).collect()}
+    total = sizes.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("items"), F.coalesce(F.sum(F.col("c") * F.col("n")), F.lit(0)).alias("tokens"), F.coalesce(F.sum(F.col("c") * F.floor(F.col("n") / cap)), F.lit(0)).alias("full")).first()
+    runs, opened = plan(histogram, capacity)
     planned = spark.createDataFrame([(r.length, r.first, r.last, r.container, r.each) for r in runs], "length long, first long, last long, container long, each long")
-    slots = ranked.join(F.broadcast(planned), "length").where("rank >= first AND rank < last")
-    placed = slots.select((F.col("container") + F.floor((F.col("rank") - F.col("first")) / F.col("each"))).alias("container_id"), "doc_id", "piece_no", "start_token", F.col("length").alias("n_tokens"))
-    # full pieces: their containers follow the planned ones, in blocks by part
-    from pyspark.sql import Window
-
-    big = rest.where("full > 0").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(RANK_PARTS)).cast("int"))
-    totals = {r["part"]: r["n"] for r in big.groupBy("part").agg(F.sum("full").alias("n")).collect()}
-    at, starts = opened, []
-    for part in sorted(totals):
-        starts.append((part, at))
-        at += totals[part]
-    behind = F.sum("full").over(Window.partitionBy("part").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1))
-    big = big.withColumn("behind", F.coalesce(behind, F.lit(0))).join(F.broadcast(spark.createDataFrame(starts, "part int, start long")), "part")
-    cut = big.select("doc_id", (F.col("start") + F.col("behind")).alias("from"), F.explode(F.sequence(F.lit(0), F.col("full").cast("int") - 1)).alias("piece_no"))
-    whole = cut.select((F.col("from") + F.col("piece_no")).alias("container_id"), "doc_id", "piece_no", (F.col("piece_no") * cap).cast("long").alias("start_token"), cap.cast("long").alias("n_tokens"))
-    empty = base.where("n = 0")
-    containers = max(at, 1 if not base.isEmpty() else 0)
-    none = empty.select(F.pmod(F.xxhash64("doc_id"), F.lit(max(containers, 1))).alias("container_id"), "doc_id", F.lit(0).alias("piece_no"), F.lit(0).cast("long").alias("start_token"), F.lit(0).cast("long").alias("n_tokens"))
-    out = placed.unionByName(whole).unionByName(none)
-    total = base.agg(F.count(F.lit(1)).alias("items"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).withColumn("pieces", F.lit(sum(histogram.values()) + sum(totals.values())).cast("long"))
-    report = total.select(
-        F.lit(int(capacity)).alias("capacity"),
-        "items",
-        "pieces",
-        F.lit(containers).cast("long").alias("containers"),
-        "tokens",
-        (F.col("tokens") / F.lit(float(max(containers, 1) * capacity))).alias("filled"),
-    )
-    return out, report
+    placed = ranked.where("n > 0").join(broadcast_if_small(h.drop("c")), "n")
+    ends = placed.where("length > 0").select("doc_id", "length", F.col("full").cast("int").alias("piece_no"), (F.col("full") * cap).cast("long").alias("start_token"), (F.col("offset") + F.col("rank")).alias("at"))
+    slots = ends.join(broadcast_if_small(planned, len(runs)), "length").where("at >= first AND at < last")
+    rest = slots.select((F.col("container") + F.floor((F.col("at") - F.col("first")) / F.col("each"))).alias("container_id"), "doc_id", "piece_no", "start_token", F.col("length").alias("n_tokens"))
+    # full pieces: their containers follow the planned ones
+    first = F.lit(opened) + F.col("behind") + F.col("rank") * F.col("full")
+    pieces = placed.where("full > 0").select("doc_id", first.alias("from"), F.explode(F.sequence(F.lit(0), F.col("full").cast("int") - 1)).alias("piece_no"))
+    whole = pieces.select((F.col("from") + F.col("piece_no")).alias("container_id"), "doc_id", "piece_no", (F.col("piece_no") * cap).cast("long").alias("start_token"), cap.cast("long").alias("n_tokens"))
+    containers = max(opened + total["full"], 1 if total["items"] else 0)
+    none = ranked.where("n = 0").select(F.pmod(F.xxhash64("doc_id"), F.lit(max(containers, 1))).alias("container_id"), "doc_id", F.lit(0).alias("piece_no"), F.lit(0).cast("long").alias("start_token"), F.lit(0).cast("long").alias("n_tokens"))
+    out = rest.unionByName(whole).unionByName(none)
+    row = (capacity, total["items"], sum(histogram.values()) + total["full"], containers, total["tokens"], total["tokens"] / float(max(containers, 1) * capacity))
+    return out, spark.createDataFrame([row], "capacity int, items long, pieces long, containers long, tokens long, filled double")

@@ -12,7 +12,7 @@ from pathloom.functions.text import plain_name
 from pathloom.functions.paths import clean_path, clean_path_set
 from pathloom.llm.cooccurrence import cooccurrence
 from pathloom.llm.mixing import mix
-from pathloom.llm.packing import pack
+from pathloom.llm.packing import pack_all
 from pathloom.llm.percentiles import percentiles
 from pathloom.llm.tables import latest_eval_tasks, plain_strategy, read
 from pathloom.llm.tokens import with_tokens
@@ -29,13 +29,10 @@ def _sized(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 
 def _packed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    sized = _sized(spark, sf_dir)
-    plans, reports = [], []
     # a table of a few capacities
-    for r in sorted(read(spark, sf_dir, "pack_capacities").where("capacity_tokens > 0").collect(), key=lambda r: (r["pack_name"], r["capacity_tokens"])):
-        rows, report = pack(sized, "doc_id", "n_tokens", r["capacity_tokens"])
-        plans.append(rows.select(F.lit(r["pack_name"]).alias("pack_name"), "*"))
-        reports.append(report.select(F.lit(r["pack_name"]).alias("pack_name"), "*"))
+    wanted = sorted((r["pack_name"], r["capacity_tokens"]) for r in read(spark, sf_dir, "pack_capacities").where("capacity_tokens > 0").collect())
+    packed = pack_all(_sized(spark, sf_dir), "doc_id", "n_tokens", [c for _, c in wanted])
+    plans, reports = ([p[i].select(F.lit(name).alias("pack_name"), "*") for (name, _), p in zip(wanted, packed)] for i in (0, 1))
     plan, report = plans[0], reports[0]
     for p, q in zip(plans[1:], reports[1:]):
         plan, report = plan.unionByName(p), report.unionByName(q)
@@ -52,6 +49,42 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packed(spark, sf_dir)[1]
 
 
+def p7_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per capacity: documents placed, and what must not be: containers over it, documents whose pieces
+    don't add up, pieces out of order, documents cut though they fit, and more than 5 percent of room left."""
+    sized = _sized(spark, sf_dir)
+    wanted = sorted((r["pack_name"], r["capacity_tokens"]) for r in read(spark, sf_dir, "pack_capacities").where("capacity_tokens > 0").collect())
+    out = None
+    for (name, cap), (plan, report) in zip(wanted, pack_all(sized, "doc_id", "n_tokens", [c for _, c in wanted])):
+        over = plan.groupBy("container_id").agg(F.sum("n_tokens").alias("t")).agg(F.count_if(F.col("t") > cap).alias("over_capacity"))
+        d = plan.groupBy("doc_id").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("pieces"), F.max(F.col("start_token") + F.col("n_tokens")).alias("ends"), F.count_distinct("piece_no").alias("numbers"))
+        d = d.join(sized.withColumnRenamed("doc_id", "d"), F.col("doc_id") == F.col("d"), "full")
+        bad = d.agg(
+            F.count("doc_id").alias("documents"),
+            F.count_if(F.col("d").isNull() | F.col("doc_id").isNull() | (F.col("t") != F.col("n_tokens"))).alias("lost"),
+            F.count_if((F.col("ends") != F.col("n_tokens")) | (F.col("numbers") != F.col("pieces"))).alias("disordered"),
+            F.count_if((F.col("pieces") > 1) & (F.col("n_tokens") <= cap)).alias("cut_though_small"),
+        )
+        row = bad.join(over).join(report.select((F.col("filled") < 0.95).alias("roomy"))).select(F.lit(name).alias("pack_name"), *bad.columns, "over_capacity", "roomy")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def p8_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per mix: targets, and what must not be: sources off their share by more than two of their documents,
+    documents drawn too often, places given twice."""
+    draw, report = _mixed(spark, sf_dir)
+    repeats = read(spark, sf_dir, "mix_targets").withColumn("source", plain_name(F.col("source"))).where("mix_name IS NOT NULL AND source IS NOT NULL").groupBy("mix_name", "source").agg(F.min("max_repeats").alias("r"))
+    largest = draw.groupBy("mix_name", "source").agg(F.max("n_tokens").alias("largest"), F.sum("n_tokens").alias("tokens"))
+    size = draw.groupBy("mix_name").agg(F.sum("n_tokens").alias("all"))
+    off = report.select("mix_name", "source", "share").join(largest, ["mix_name", "source"], "left").join(size, "mix_name").groupBy("mix_name").agg(
+        F.count(F.lit(1)).alias("targets"), F.count_if(F.abs(F.coalesce("tokens", F.lit(0)) - F.col("share") * F.col("all")) > 2 * F.coalesce("largest", F.lit(0)) + 1).alias("off_share")
+    )
+    often = draw.groupBy("mix_name", "source", "doc_id").agg(F.count(F.lit(1)).alias("n")).join(repeats, ["mix_name", "source"]).groupBy("mix_name").agg(F.count_if(F.col("n") > F.col("r")).alias("too_often"))
+    twice = draw.groupBy("mix_name", "shard", "position").agg(F.count(F.lit(1)).alias("n")).groupBy("mix_name").agg(F.count_if(F.col("n") > 1).alias("same_place"))
+    return off.join(often, "mix_name").join(twice, "mix_name")
+
+
 def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     sized = _sized(spark, sf_dir, "source").withColumn("source", plain_name(F.col("source")))
     sized = Stages(spark, "mixed").put(sized, "documents")
@@ -251,6 +284,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_report": p7_report,
     "p8_draw": p8_draw,
     "p8_report": p8_report,
+    "p7_check": p7_check,
+    "p8_check": p8_check,
     "p9_found": p9_found,
     "p9_sanitised": p9_sanitised,
 }
@@ -264,6 +299,8 @@ SQL: dict[str, str] = {
   JOIN cls a ON a.field_name = p.field_name AND a.contract_id = p.contract_a JOIN cls b ON b.field_name = p.field_name AND b.contract_id = p.contract_b WHERE a.class_id <> b.class_id
 ), ends AS (SELECT field_name, x AS class_id, y FROM links UNION SELECT field_name, y, x FROM links)
 SELECT c.field_name, c.contract_id, c.class_id, (SELECT count(*) FROM ends e WHERE e.field_name = c.field_name AND e.class_id = c.class_id) AS links FROM cls c""",
+    "p7_check": "SELECT pack_name, (SELECT count(*) FROM documents WHERE doc_id IS NOT NULL) AS documents, 0::BIGINT AS lost, 0::BIGINT AS disordered, 0::BIGINT AS cut_though_small, 0::BIGINT AS over_capacity, false AS roomy FROM pack_capacities WHERE capacity_tokens > 0",
+    "p8_check": f"SELECT mix_name, count(DISTINCT {PLAIN_SQL.format(c='source')}) AS targets, 0::BIGINT AS off_share, 0::BIGINT AS too_often, 0::BIGINT AS same_place FROM mix_targets WHERE mix_name IS NOT NULL GROUP BY mix_name",
     "p3_found": _P3_SQL,
     "p4_found": _P4_SQL,
     "p2_found": _P2_SQL
