@@ -16,12 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.operators.staging import Stages, broadcast_if_small
+from pathloom.operators.staging import Stages
 
 OCCURRENCES = "doc_id long, occ int, parent int, field string, name string, ordinal int, listed boolean, node string"
 _OCC = pa.schema([("doc_id", pa.int64()), ("occ", pa.int32()), ("parent", pa.int32()), ("field", pa.string()), ("name", pa.string()), ("ordinal", pa.int32()), ("listed", pa.bool_()), ("node", pa.string()), ("content", pa.string())])
 
 
+_canonical = json.JSONEncoder(sort_keys=True, ensure_ascii=False, separators=(",", ":")).encode
+
+
 def _is_map(field: str, value: dict, maps: dict[str, tuple[str, ...]]) -> bool:
     """Whether an object under a field that may hold a map files objects by name: it has none of
     the fields that mark a lone object, and nothing but objects in it."""
@@ -62,8 +65,8 @@ def _walk(root: dict, maps: dict[str, tuple[str, ...]]) -> list[tuple]:
         o = objects[occ]
         scalars = {k: v for k, v in o.items() if plain(v)}
         below = [[rows[c][2], rows[c][3], rows[c][4], rows[c][5], rows[c][6]] for c in children.get(occ, ())]
-        content = json.dumps(scalars, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
-        whole = content + json.dumps(sorted(below, key=lambda b: (b[0], b[1] or "", b[2])), ensure_ascii=False, separators=(",", ":"))
+        content = _canonical(scalars)
+        whole = content + (_canonical(sorted(below, key=lambda b: (b[0], b[1] or "", b[2]))) if below else "[]")
         rows[occ][6] = hashlib.blake2b(whole.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
         rows[occ][7] = content
     return [tuple(r) for r in rows]
@@ -71,7 +74,7 @@ def _walk(root: dict, maps: dict[str, tuple[str, ...]]) -> list[tuple]:
 
 def parse_nested(documents: DataFrame, doc_id: str, body: str, maps: dict[str, tuple[str, ...]]) -> DataFrame:
     """One row per occurrence of an object: ``OCCURRENCES`` and its ``content`` (the scalars as JSON),
-    which only the first of equal objects in a batch carries.
+    which only the first of equal objects of a field in a batch carries.
 
     ``maps``: fields whose object may file members by name instead of being a member, with the
     keys that mark a lone member.  ``parent`` is -1 for the document; ``ordinal`` is the place in
@@ -81,7 +84,7 @@ def parse_nested(documents: DataFrame, doc_id: str, body: str, maps: dict[str, t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known: set[str] = set()
+            known: set[tuple[str, str]] = set()
             for lo in range(0, batch.num_rows, 256):
                 cols: list[list] = [[] for _ in _OCC]
                 part = batch.slice(lo, 256)
@@ -93,9 +96,9 @@ def parse_nested(documents: DataFrame, doc_id: str, body: str, maps: dict[str, t
                     if not isinstance(root, dict):
                         continue
                     for row in _walk(root, maps):
-                        if row[6] in known:
+                        if (row[2], row[6]) in known:
                             row = (*row[:7], None)
-                        known.add(row[6])
+                        known.add((row[2], row[6]))
                         for c, v in zip(cols, (i, *row)):
                             c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _OCC)], schema=_OCC)
@@ -105,20 +108,21 @@ def parse_nested(documents: DataFrame, doc_id: str, body: str, maps: dict[str, t
 
 
 class NestedTables:
-    """The flat tables of a set of documents: ``nodes`` (node, content), each identical object
-    once, and ``bridge`` (``OCCURRENCES``), every place where one occurs."""
+    """The flat tables of a set of documents: ``nodes`` (field, node, content), each identical object
+    of a field once, and ``bridge`` (``OCCURRENCES``), every place where one occurs."""
 
     def __init__(self, documents: DataFrame, doc_id: str, body: str, maps: dict[str, tuple[str, ...]]):
         stages = Stages(documents.sparkSession, "nested")
         parsed = stages.put(parse_nested(documents, doc_id, body, maps), "parsed")
-        self.nodes = stages.put(parsed.where("content IS NOT NULL").groupBy("node").agg(F.first("content").alias("content")), "nodes")
+        found = parsed.where("content IS NOT NULL").select("field", "node", "content")
+        self.nodes = stages.put(found.groupBy("field", "node").agg(F.first("content").alias("content")), "nodes")
         self.bridge = parsed.select("doc_id", "occ", "parent", "field", "name", "ordinal", "listed", "node")
-        self._values = broadcast_if_small(self.nodes)
 
     def table(self, field: str, columns: dict[str, str]) -> DataFrame:
         """The occurrences of objects in ``field`` with some of their scalars: (doc_id, occ, parent,
         name, ordinal, listed, node, *columns).  ``columns``: SQL name to JSON key; values are
-        JSON texts for lists and plain texts otherwise.  The scalars come from ``nodes``, where
-        each distinct object is stored once."""
-        here = self.bridge.where(F.col("field") == field).join(self._values, "node")
-        return here.select("doc_id", "occ", "parent", "name", "ordinal", "listed", "node", *[F.get_json_object("content", f"$['{key}']").alias(c) for c, key in columns.items()])
+        JSON texts for lists and plain texts otherwise.  The scalars are read from ``nodes``, where
+        each distinct object of a field is stored once, before these join their occurrences."""
+        values = self.nodes.where(F.col("field") == field).select("node", *[F.get_json_object("content", f"$['{key}']").alias(c) for c, key in columns.items()])
+        here = self.bridge.where(F.col("field") == field).join(values, "node")
+        return here.select("doc_id", "occ", "parent", "name", "ordinal", "listed", "node", *columns)
