@@ -49,15 +49,22 @@ def likeness(a: Column, b: Column) -> Column:
 def alike(asked: DataFrame, known: DataFrame, least: float = ALIKE) -> DataFrame:
     """(word, other, ratio): known words at least ``least`` like an asked one.
 
-    ``asked`` and ``known``: word.  Only words of fitting lengths are compared: they are joined on
-    length, so a word doesn't meet all others."""
+    ``asked`` and ``known``: word.  Words so alike differ by few letters put in or taken out, k at
+    most for a length; of k + 1 pieces of the one word, one stands whole in the other.  So words
+    are joined by pieces, and only those that share one and fit in length are compared."""
     a = asked.where("word <> ''").select("word").distinct()
     bound = least / (200.0 - least)
-    low, high = F.ceil(F.length("word") * bound), F.floor(F.length("word") / bound)
-    a = a.withColumn("n", F.explode(F.sequence(low.cast("int"), high.cast("int"))))
-    k = known.where("word <> ''").select(F.col("word").alias("other")).distinct().withColumn("n", F.length("other"))
-    met = k.join(a, "n").withColumn("ratio", likeness(F.col("word"), F.col("other")))
-    return met.where(F.col("ratio") >= least).select("word", "other", "ratio")
+    n = F.length("word")
+    edits = F.floor((1 - least / 100.0) * (n + F.floor(n / bound)) + 1e-9).cast("int")
+    pieces = a.withColumn("n", n).withColumn("parts", F.least(edits + 1, n)).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    lo, hi = F.expr("cast(floor(n * i / parts) as int)"), F.expr("cast(floor(n * (i + 1) / parts) as int)")
+    pieces = pieces.select("word", F.substring("word", lo + 1, hi - lo).alias("piece"), (hi - lo).alias("size")).distinct()
+    sizes = F.broadcast(pieces.select("size").distinct())  # lengths of pieces: a few small numbers
+    k = known.where("word <> ''").select(F.col("word").alias("other")).distinct()
+    inside = k.join(sizes, F.length("other") >= F.col("size")).select("other", F.explode(F.expr("array_distinct(transform(sequence(1, length(other) - size + 1), p -> substring(other, p, size)))")).alias("piece"))
+    low, high = F.ceil(F.length("word") * bound - 1e-9), F.floor(F.length("word") / bound + 1e-9)
+    met = inside.join(pieces.select("word", "piece"), "piece").where(F.length("other").between(low, high)).select("word", "other").distinct()
+    return met.withColumn("ratio", likeness(F.col("word"), F.col("other"))).where(F.col("ratio") >= least).select("word", "other", "ratio")
 
 
 def break_even(overhead: Column, saving: Column) -> Column:

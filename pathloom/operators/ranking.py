@@ -25,6 +25,10 @@ EXPAND_FROM, EXPAND_AT = 0.72, 0.92
 # -------------------------------------------------------------------------------------------------
 
 
+#: Queries of a block and parts of the vectors, where queries are too many to go to every task.
+QUERY_BLOCK, VECTOR_PARTS = 4096, 64
+
+
 def top(df: DataFrame, group: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
     """The first ``n`` rows of each group; map tasks pass on ``n`` rows of a group at most."""
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col(rank) <= n)
@@ -73,13 +77,23 @@ def token_overlap(corpus: DataFrame, queries: DataFrame, n: int = LEXICAL_TOP) -
 
 def cosine_top(vectors: DataFrame, queries: DataFrame, n: int, floor: float = VECTOR_FLOOR) -> DataFrame:
     """(qid, vec_id, similarity, rank): the nearest vectors to each query by cosine, of the first
-    2 n those above ``floor``.  ``queries`` (qid, query) go to every task in one block; its size is
-    what bounds this.  Vectors that are null, of another length or without length are passed over.
+    2 n those above ``floor``.
+
+    Queries (qid, query) go to every task if they are few.  Else queries are cut into blocks and
+    vectors into parts, and every block meets every part in a task of its own; a task keeps the
+    best of a query.  Vectors that are null, of another length or without length are passed over.
     """
     length = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x))
     q = queries.where("query IS NOT NULL").select("qid", "query", length(F.col("query")).alias("ql")).where("ql > 0")
     v = vectors.where("embedding IS NOT NULL").select("vec_id", "embedding", length(F.col("embedding")).alias("vl")).where("vl > 0")
-    met = v.join(F.broadcast(q), (F.size("embedding") == F.size("query")) & (F.col("vec_id") != F.col("qid")))
+    small = broadcast_if_small(q)
+    if small is q:
+        blocks = -(-q.count() // QUERY_BLOCK)
+        q = q.withColumn("_b", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")).withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(VECTOR_PARTS - 1))))
+        v = v.withColumn("_p", F.pmod(F.xxhash64("vec_id"), F.lit(VECTOR_PARTS)).cast("int")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        met = v.join(q, ["_b", "_p"]).where((F.size("embedding") == F.size("query")) & (F.col("vec_id") != F.col("qid")))
+    else:
+        met = v.join(small, (F.size("embedding") == F.size("query")) & (F.col("vec_id") != F.col("qid")))
     dot = F.aggregate(F.zip_with("embedding", "query", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda a, x: a + x)
     near = met.select("qid", "vec_id", F.round(dot / F.col("vl") / F.col("ql"), 6).alias("similarity"))
     return top(near, ["qid"], [F.desc("similarity"), F.asc("vec_id")], 2 * n).where(F.col("similarity") >= floor).where(F.col("rank") <= n)
@@ -158,18 +172,3 @@ def fuse(predictions: DataFrame, n: int) -> DataFrame:
     f = f.select("task", "path", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("c", F.lit(0.0)))).alias("confidence"), F.array_join(F.transform("r", lambda x: x["reason"]), "; ").alias("reason"))
     late = F.startswith(F.lower(F.btrim("reason")), F.lit("graph expansion"))
     return top(f, ["task"], [late.asc(), F.desc("confidence"), F.asc("path")], n)
-
-
-def expand(fused: DataFrame, edges: DataFrame, files: DataFrame) -> DataFrame:
-    """(task, path, confidence, reason, place): files one edge away from a task's sure paths.
-
-    ``edges``: src, dst, kind; ``files``: path.  Only what a type link or imports from two seeds
-    or more support is sure enough.  Paths that the task has already are left out.
-    """
-    sure = fused.where(F.col("confidence") >= EXPAND_FROM).select("task", F.col("path").alias("src"))
-    near = sure.join(edges.distinct(), "src").where("src <> dst").withColumnRenamed("dst", "path")
-    new = near.join(fused.select("task", "path"), ["task", "path"], "left_anti").join(files.select("path").distinct(), "path", "left_semi")
-    g = new.groupBy("task", "path").agg(F.collect_set("kind").alias("kinds"), F.array_sort(F.collect_set("src")).alias("seeds"))
-    firm = F.array_contains("kinds", "type") | (F.array_contains("kinds", "import") & (F.size("seeds") >= 2))
-    reason = F.concat(F.lit("Graph expansion from "), F.array_join(F.slice("seeds", 1, 3), ", "))
-    return g.where(firm).select("task", "path", F.lit(EXPAND_AT).alias("confidence"), reason.alias("reason"), F.lit(1 << 30).alias("place"))

@@ -170,19 +170,21 @@ def test_fusion(spark):
     assert rows(R.fuse(tie, 2), "rank", "path") == [(1, "a"), (2, "b")]
 
 
-def test_expansion(spark):
-    fused = spark.createDataFrame([("t", "lib/a.js", 0.95), ("t", "lib/b.js", 0.95)], "task string, path string, confidence double")
-    edges = spark.createDataFrame([("lib/a.js", "lib/v.js", "import"), ("lib/b.js", "lib/v.js", "import"), ("lib/a.js", "lib/w.js", "import"), ("lib/a.js", "types/a.d.ts", "type")], "src string, dst string, kind string")
-    files = spark.createDataFrame([("lib/v.js",), ("lib/w.js",), ("types/a.d.ts",)], "path string")
-    assert rows(R.expand(fused, edges, files), "path") == [("lib/v.js",), ("types/a.d.ts",)]
-
-
 def test_cosine(spark):
     v = spark.createDataFrame([(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0]), (4, None), (5, [0.0, 0.0]), (6, [1.0])], "vec_id long, embedding array<float>")
     q = v.where("vec_id = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query"))
     assert rows(R.cosine_top(v, q, 5), "vec_id", "rank") == [(1, 1), (3, 2)]
 
 
+def test_many_queries_meet_all_vectors_in_blocks(spark, monkeypatch):
+    v = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)], "vec_id long, embedding array<float>")
+    q = v.where("vec_id % 3 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query"))
+    one = rows(R.cosine_top(v, q, 5))
+    monkeypatch.setattr(R, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(R, "broadcast_if_small", lambda df, *a: df)
+    assert rows(R.cosine_top(v, q, 5)) == one and len(one) == 100
+
+
 def test_intervals(spark):
     df = spark.createDataFrame([("k", 1, 0.0, 10.0), ("k", 2, 10.0, 12.0), ("k", 3, 11.0, 99.0), ("k", 4, 5.0, 4.0), ("j", 5, 0.0, 9.0), ("k", 6, None, 1.0)], "k string, id int, lo double, hi double")
     got = overlapping(df, df, ["k"], 3.0).where("left_id < right_id")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pathloom.operators import patterns as T
-from pathloom.operators.cycles import collapse_cycles, components
+from pathloom.operators.cycles import components, strong_components, task_order
 
 
 def rows(df, *cols):
@@ -68,7 +68,14 @@ def test_components(seed):
 def test_collapse(spark):
     e = [("p", 3, 1), ("p", 1, 2), ("p", 2, 3), ("p", 3, 4), ("p", 4, 4), ("q", 1, 2), ("q", None, 2)]
     df = spark.createDataFrame(e, "plan string, src long, dst long")
-    assert rows(collapse_cycles(df)) == [("p", 1, 2), ("p", 2, 3), ("p", 3, 4), ("q", 1, 2)]
-    assert collapse_cycles(df.limit(0)).count() == 0
+    assert rows(chained(df)) == [("p", 1, 2), ("p", 2, 3), ("p", 3, 4), ("q", 1, 2)]
+    assert chained(df.limit(0)).count() == 0
     deep = spark.createDataFrame([("p", i, i + 1) for i in range(5000)] + [("p", 5000, 0)], "plan string, src long, dst long")
-    assert collapse_cycles(deep).count() == 5000
+    assert strong_components(deep).count() == 5001
+
+
+def chained(edges):
+    """Conflict edges with their cycles made chains."""
+    tasks = edges.select("plan", F.explode(F.array("src", "dst")).alias("task")).where("task IS NOT NULL").distinct().withColumn("last", F.lit(False))
+    order = task_order(tasks, edges.dropna().where("src <> dst"), edges.limit(0))
+    return order.where("src >= 0 AND dst >= 0").select("plan", "src", "dst").distinct()
