@@ -51,7 +51,7 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per capacity: documents placed, and what must not be: containers over it, documents whose pieces
-    don't add up, pieces out of order, documents cut though they fit, and more than 5 percent of room left."""
+    don't add up, pieces out of order, documents cut though they fit, and room left of more than one container and 5 percent."""
     sized = _sized(spark, sf_dir)
     wanted = sorted((r["pack_name"], r["capacity_tokens"]) for r in read(spark, sf_dir, "pack_capacities").where("capacity_tokens > 0").collect())
     out = None
@@ -65,7 +65,7 @@ def p7_check(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.count_if((F.col("ends") != F.col("n_tokens")) | (F.col("numbers") != F.col("pieces"))).alias("disordered"),
             F.count_if((F.col("pieces") > 1) & (F.col("n_tokens") <= cap)).alias("cut_though_small"),
         )
-        row = bad.join(over).join(report.select((F.col("filled") < 0.95).alias("roomy"))).select(F.lit(name).alias("pack_name"), *bad.columns, "over_capacity", "roomy")
+        row = bad.join(over).join(report.select((F.col("containers") * F.col("capacity") - F.col("tokens") > F.greatest(F.col("capacity"), 0.05 * F.col("containers") * F.col("capacity"))).alias("roomy"))).select(F.lit(name).alias("pack_name"), *bad.columns, "over_capacity", "roomy")
         out = row if out is None else out.unionByName(row)
     return out
 

@@ -4,7 +4,7 @@ import pytest
 from pathloom.llm.queries import QUERIES, SQL
 from pathloom.llm.tokens import TOKENIZER_DIR, tokenizer, with_tokens
 
-TABLES = ("contracts", "predicted_writes", "runs", "eval_tasks")
+TABLES = ("contracts", "predicted_writes", "runs", "eval_tasks", "documents", "pack_capacities", "mix_targets")
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
