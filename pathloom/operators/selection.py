@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions.paths import mentions_test
+from pathloom.operators.blocks import sharing
 from pathloom.operators.ranking import EXPAND_AT, EXPAND_FROM, top
 
 # ---- fixed values that results depend on --------------------------------------------------------
@@ -103,5 +104,22 @@ def test_links(sources: DataFrame, tests: DataFrame, edges: DataFrame) -> DataFr
     s = sources.select(F.col("path").alias("source"), F.explode("words").alias("word"))
     t = tests.select(F.col("path").alias("test"), F.explode("words").alias("word"))
     alike = t.join(s, "word").select("test", "source")
-    by_import = edges.select(F.col("src").alias("test"), F.col("dst").alias("source")).join(tests.select(F.col("path").alias("test")), "test", "left_semi").join(sources.select(F.col("path").alias("source")), "source", "left_semi")
-    return alike.unionByName(by_import).where("test <> source").distinct()
+    return alike.unionByName(_imported(sources, tests, edges).select("test", "source")).where("test <> source").distinct()
+
+
+def _imported(sources: DataFrame, tests: DataFrame, edges: DataFrame) -> DataFrame:
+    """(test, source, apart): imports from tests to sources, and whether they share no word."""
+    t, s = tests.select(F.col("path").alias("test"), F.col("words").alias("_t")), sources.select(F.col("path").alias("source"), F.col("words").alias("_s"))
+    return edges.select(F.col("src").alias("test"), F.col("dst").alias("source")).distinct().join(t, "test").join(s, "source").select("test", "source", (~F.coalesce(F.arrays_overlap("_t", "_s"), F.lit(False))).alias("apart"))
+
+
+def test_counts(sources: DataFrame, tests: DataFrame, edges: DataFrame) -> DataFrame:
+    """(test, sources, first): the number of ``test_links`` of each test that has any, and the first by name.
+
+    No path is in both.  Tests with the same words are counted once, without their pairs; imports
+    count where no word is shared.  ``words`` hold no null."""
+    t = tests.select(F.col("path").alias("test"), F.array_sort(F.array_distinct("words")).alias("qid"))
+    some = sharing(sources.select(F.col("path").alias("doc"), "words"), t.select("qid").where("size(qid) > 0").distinct())
+    alike = t.join(some, "qid").select("test", "n", "first")
+    by_import = _imported(sources, tests, edges).where("apart").select("test", F.lit(1).cast("bigint").alias("n"), F.col("source").alias("first"))
+    return alike.unionByName(by_import).groupBy("test").agg(F.sum("n").alias("sources"), F.min("first").alias("first"))

@@ -1,13 +1,32 @@
-"""Operators that meet in blocks, against brute force."""
+"""Operators that meet in blocks, against brute force; and what they shuffle."""
 
 from hashlib import md5
 
 import pytest
+from pyspark.sql import functions as F
 
 from pathloom.operators import blocks as B
+from pathloom.operators import selection as S
 from pathloom.plans import rankings as Q
 
 
+def moved(spark, make):
+    """The rows of ``make()``, and how many rows of shuffles and spilled bytes it took."""
+
+    def now():
+        sc = spark.sparkContext
+        jvm = sc._jvm
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        all_of = [stages.apply(i) for i in range(stages.size())]
+        return sum(x.shuffleWriteRecords() for x in all_of), sum(x.diskBytesSpilled() for x in all_of)
+
+    before = now()
+    rows = make().collect()
+    after = now()
+    return rows, after[0] - before[0], after[1] - before[1]
+
+
 @pytest.fixture(scope="module")
 def texts():
     long = [f"{'é' * (i % 23)}{i}/" + "x" * (i % 70) for i in range(400)]
@@ -34,3 +53,26 @@ def test_least_hashed_of_few_and_none(spark):
 def test_random_topk_sorts_no_product(spark, sf):
     plan = Q.random_topk(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join Cross" not in plan and "Join Inner" not in plan
+
+
+def links(spark, n):
+    kinds = [("alpha", "beta"), ("beta",), ("gamma",), ("delta", "alpha"), ()]
+    made = lambda what, k: [(f"{what}{i}", list(kinds[i % k])) for i in range(n)]
+    sources, tests = (spark.createDataFrame(x, "path string, words array<string>") for x in (made("s", 5), made("t", 4)))
+    edges = spark.createDataFrame([("t0", "s4"), ("t0", "s4"), ("t0", "s0"), ("t2", "s1"), ("t3", "t1"), ("s1", "t1"), ("t9", "s9")], "src string, dst string")
+    return sources, tests, edges
+
+
+def test_counts_are_those_of_the_links(spark):
+    s, t, e = links(spark, 40)
+    t = t.unionByName(spark.createDataFrame([("t40", []), ("t41", ["nothing"])], t.schema))
+    e = e.unionByName(spark.createDataFrame([("t40", "s7")], e.schema))
+    slow = S.test_links(s, t, e).groupBy("test").agg(F.count(F.lit(1)).alias("sources"), F.min("source").alias("first"))
+    assert sorted(S.test_counts(s, t, e).collect()) == sorted(slow.collect())
+
+
+def test_test_counts_shuffle_no_pairs(spark):
+    s, t, e = links(spark, 1000)
+    rows, shuffled, _ = moved(spark, lambda: S.test_counts(s, t, e))
+    assert len(rows) == 1000 and sum(r.sources for r in rows) > 300_000
+    assert shuffled < 50_000
