@@ -1,11 +1,15 @@
 """Operators that meet in blocks, against brute force; and what they shuffle."""
 
+import random
+from collections import Counter
 from hashlib import md5
+from math import log
 
 import pytest
 from pyspark.sql import functions as F
 
 from pathloom.operators import blocks as B
+from pathloom.operators import ranking as R
 from pathloom.operators import selection as S
 from pathloom.plans import rankings as Q
 
@@ -76,3 +80,37 @@ def test_test_counts_shuffle_no_pairs(spark):
     rows, shuffled, _ = moved(spark, lambda: S.test_counts(s, t, e))
     assert len(rows) == 1000 and sum(r.sources for r in rows) > 300_000
     assert shuffled < 50_000
+
+
+@pytest.fixture(scope="module")
+def worded(spark):
+    """Texts of frequent, rare and repeated words, many of them alike; and queries."""
+    draw = random.Random(7)
+    words = [f"w{i}" for i in range(40)]
+    some = lambda least, most: draw.choices(words, [1 / (i + 1) for i in range(40)], k=draw.randint(least, most))
+    corpus = {f"{draw.random():.9f}-{i}": some(0, 7) + ["all"] * (i % 5 > 0) for i in range(900)}
+    queries = {q: some(1, 12) * draw.randint(1, 3) + ["all", "unknown"][: q % 3] for q in range(30)} | {30: ["all"], 31: ["unknown"], 32: ["w39"], 33: words + ["w39"] * 30}
+    return corpus, queries, spark.createDataFrame(list(corpus.items()), "doc string, tokens array<string>").cache(), spark.createDataFrame(list(queries.items()), "qid bigint, tokens array<string>").cache()
+
+
+def ranked(scores, n):
+    return [(d, s) for s, d in sorted((-s, d) for d, s in scores.items())[:n]]
+
+
+@pytest.mark.parametrize("n", [1, 8, 2000])
+def test_token_overlap_is_exact_in_blocks(worded, monkeypatch, n):
+    corpus, queries, c, q = worded
+    monkeypatch.setattr(B, "DOC_BLOCK", 250)
+    got = {}
+    for r in sorted(R.token_overlap(c, q, n).collect(), key=lambda r: r.rank):
+        got.setdefault(r.qid, []).append((r.doc, -r.common))
+    want = {k: ranked({d: m for d, t in corpus.items() if (m := len({*t} & {*w}))}, n) for k, w in queries.items()}
+    assert got == {k: x for k, x in want.items() if x}
+
+
+def test_token_overlap_shuffles_no_pairs(worded):
+    _, _, c, q = worded
+    rows, shuffled, _ = moved(c.sparkSession, lambda: R.token_overlap(c, q))
+    assert len(rows) > 200
+    # 34 queries meet some 800 of 900 texts each
+    assert shuffled < 900 * 8 + 34 * 13 * 8 + 34 * 8 * 8
