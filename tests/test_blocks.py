@@ -114,3 +114,39 @@ def test_token_overlap_shuffles_no_pairs(worded):
     assert len(rows) > 200
     # 34 queries meet some 800 of 900 texts each
     assert shuffled < 900 * 8 + 34 * 13 * 8 + 34 * 8 * 8
+
+
+@pytest.mark.parametrize("n", [1, 8, 2000])
+def test_bm25_is_exact_in_blocks(worded, monkeypatch, n):
+    corpus, queries, c, q = worded
+    monkeypatch.setattr(B, "DOC_BLOCK", 250)
+    df = Counter(w for t in corpus.values() for w in {*t})
+    idf = {w: log(len(corpus) - k + 0.5) - log(k + 0.5) for w, k in df.items()}
+    floor, mean = R.EPSILON * sum(idf.values()) / len(idf), sum(map(len, corpus.values())) / len(corpus)
+    want = {}
+    for k, asked in queries.items():
+        scores = {}
+        for d, t in corpus.items():
+            if common := {*t} & {*asked}:
+                part = lambda w: asked.count(w) * (idf[w] if idf[w] >= 0 else floor) * t.count(w) * (R.K1 + 1) / (t.count(w) + R.K1 * (1 - R.B + R.B * len(t) / mean))  # noqa: B023, E731
+                scores[d] = max(round(sum(map(part, sorted(common))), 6), len(common))
+        if scores:
+            want[k] = ranked(scores, n)
+    got = {}
+    for r in sorted(R.bm25(c, q, n).collect(), key=lambda r: r.rank):
+        got.setdefault(r.qid, []).append((r.doc, r.score))
+    assert {k: [d for d, _ in x] for k, x in got.items()} == {k: [d for d, _ in x] for k, x in want.items()}
+    assert all(s == pytest.approx(-t, abs=2e-6) for k, x in got.items() for (_, s), (_, t) in zip(x, want[k], strict=True))
+
+
+def test_bm25_with_negative_weights(spark):
+    c = spark.createDataFrame([("a", ["x", "y"]), ("b", ["x"]), ("c", ["x", "x"])], "doc string, tokens array<string>")
+    got = R.bm25(c, spark.createDataFrame([(1, ["x", "y", "x"])], "qid bigint, tokens array<string>")).collect()
+    assert [(r.doc, r.score) for r in sorted(got, key=lambda r: r.rank)] == [("a", 2.0), ("b", 1.0), ("c", 1.0)]
+
+
+def test_bm25_shuffles_no_pairs(worded):
+    _, _, c, q = worded
+    rows, shuffled, _ = moved(c.sparkSession, lambda: R.bm25(c, q))
+    assert len(rows) > 200
+    assert shuffled < 900 * 8 + 34 * 13 * 8 * 2 + 34 * 8 * 8
