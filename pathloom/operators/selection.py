@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pathloom.functions.paths import mentions_test
 from pathloom.operators.blocks import sharing
 from pathloom.operators.ranking import EXPAND_AT, EXPAND_FROM, top
+from pathloom.operators.staging import Stages, broadcast_if_small
 
 # ---- fixed values that results depend on --------------------------------------------------------
 
@@ -18,6 +19,10 @@ STUBS_PER_ANCHOR = 3
 # -------------------------------------------------------------------------------------------------
 
 
+#: A path with more neighbours is a hub, whose neighbours are not listed for each task.
+FEW_NEIGHBOURS = 256
+
+
 def surest(predictions: DataFrame) -> DataFrame:
     """One row per (task, path): the one with the highest confidence, the first of equal ones.
 
@@ -77,14 +82,42 @@ def expanded(fused: DataFrame, around: DataFrame, files: DataFrame, tasks: DataF
     ``fused``: task, path, confidence; ``around``: src, dst, kind of ``neighbours``; ``tasks``: task, words
     (array of the task's words), tests (whether it is about tests).  A file is added if its path
     shares a word with the task, if a type link leads to it, or imports from two sure paths do;
-    test files only for tasks about tests.  Words of paths: ``files``: path, words."""
-    sure = fused.where(F.col("confidence") >= EXPAND_FROM).select("task", F.col("path").alias("src")).distinct()
-    near = sure.join(around, "src").withColumnRenamed("dst", "path").join(files.select("path", F.col("words").alias("said")), "path")
-    new = near.join(fused.select("task", "path").distinct(), ["task", "path"], "left_anti").join(tasks, "task").where(F.col("tests") | ~mentions_test(F.col("path")))
-    g = new.groupBy("task", "path").agg(F.collect_set("kind").alias("kinds"), F.array_sort(F.collect_set("src")).alias("seeds"), F.bool_or(F.arrays_overlap("said", "words")).alias("match"))
+    test files only for tasks about tests.  Words of paths: ``files``: path, words.
+
+    Neighbours of paths that have few are listed; those of hubs are joined by what would add them:
+    the word, the type link, or the second sure path.  What is found of a file that is added are
+    all its sure paths."""
+    stages = Stages(fused.sparkSession, "expanded")
+    sure = stages.put(fused.where(F.col("confidence") >= EXPAND_FROM).select("task", F.col("path").alias("src")).distinct().join(tasks.select("task", "tests"), "task"), "sure")
+    edges = stages.put(around.withColumnRenamed("dst", "path").join(files.select("path"), "path").select("src", "path", "kind", mentions_test(F.col("path")).alias("testy")), "edges")
+    fits = F.col("tests") | ~F.col("testy")
+    row = ["task", "path", "src", "kind"]
+    # a file with many neighbours leads each of its tasks to all of them; which of those are added is found without listing them
+    hubs = broadcast_if_small(stages.put(edges.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FEW_NEIGHBOURS).select("src"), "hubs"))
+    wide, hub_sure = stages.put(edges.join(hubs, "src", "left_semi"), "wide"), stages.put(sure.join(hubs, "src", "left_semi"), "hub_sure")
+    by_hub = broadcast_if_small(hub_sure)
+    light = stages.put(edges.join(hubs, "src", "left_anti").join(sure, "src").where(fits).select(*row), "light")
+    # a shared word: of all sure paths
+    asked = tasks.select("task", F.explode(F.array_distinct("words")).alias("word"))
+    said = files.select("path", F.explode(F.array_distinct("words")).alias("word")).join(broadcast_if_small(stages.put(asked.select("word").distinct(), "words")), "word", "left_semi")
+    alike = sure.join(asked, "task").join(edges.join(said, "path"), ["src", "word"]).where(fits).select(*row)
+    # hubs beside paths that other sure paths lead to
+    beside = light.select("task", "path").join(by_hub.select("task", "src"), "task").join(wide.select("src", "path", "kind"), ["src", "path"]).select(*row)
+    # type links of hubs, and paths that two hubs lead to, one of them by an import or a type link
+    linked = wide.where("kind = 'type'").join(by_hub, "src").where(fits).select(*row)
+    firmly = F.col("kind").isin("import", "type")
+    other = wide.groupBy(F.col("src").alias("other"), "path").agg(F.bool_or(firmly).alias("firmly"))
+    shared = wide.join(other, "path").where(F.col("src") != F.col("other")).where(firmly | F.col("firmly")).drop("firmly")
+    two = hub_sure.join(by_hub.select("task", F.col("src").alias("other")), "task").where(F.col("src") != F.col("other"))
+    both = two.join(shared, ["src", "other"]).where(fits).select(*row)
+    met = alike.withColumn("match", F.lit(True))
+    for part in (light, beside, linked, both):
+        met = met.unionByName(part.withColumn("match", F.lit(False)))
+    g = met.groupBy("task", "path").agg(F.collect_set("kind").alias("kinds"), F.array_sort(F.collect_set("src")).alias("seeds"), F.bool_or("match").alias("match"))
     firm = F.col("match") | F.array_contains("kinds", "type") | (F.array_contains("kinds", "import") & (F.size("seeds") >= 2))
     reason = F.concat(F.lit("Graph expansion: local import/type edge from high-confidence seed(s) "), F.array_join(F.slice("seeds", 1, 3), ", "), F.lit("."))
-    return g.where(firm).select("task", "path", F.lit(EXPAND_AT).alias("confidence"), reason.alias("reason"))
+    new = g.where(firm).join(fused.select("task", "path").distinct(), ["task", "path"], "left_anti")
+    return new.select("task", "path", F.lit(EXPAND_AT).alias("confidence"), reason.alias("reason"))
 
 
 def stub_neighbours(ranked: DataFrame, links: DataFrame) -> DataFrame:

@@ -150,3 +150,57 @@ def test_bm25_shuffles_no_pairs(worded):
     rows, shuffled, _ = moved(c.sparkSession, lambda: R.bm25(c, q))
     assert len(rows) > 200
     assert shuffled < 900 * 8 + 34 * 13 * 8 * 2 + 34 * 8 * 8
+
+
+def graph(spark, tasks, files):
+    """Paths of which a few lead to all others, some of both kinds; tasks with one or more of them."""
+    draw = random.Random(3)
+    kinds = ["word", "test", "other", "tests/x"]
+    names = [f"{kinds[i % 4]}/f{i}" for i in range(files)]
+    fused = {(t, p): draw.choice([0.5, 0.72, 0.9]) for t in range(tasks) for p in [names[0], *draw.sample(names[:4], t % 3), *draw.sample(names, 3)]}
+    around = {(names[h], p, "importer" if (i + h) % 3 else "import") for h in range(4) for i, p in enumerate(names) if i % (h + 1) == 0 and i != h}
+    around |= {(draw.choice(names), draw.choice(names), draw.choice(["import", "importer", "type"])) for _ in range(4 * files)} | {(names[1], names[7], "type")}
+    return (
+        spark.createDataFrame([(f"t{t}", p, c) for (t, p), c in sorted(fused.items())], "task string, path string, confidence double").cache(),
+        spark.createDataFrame(sorted(around), "src string, dst string, kind string").cache(),
+        spark.createDataFrame([(p, p.split("/")) for p in names], "path string, words array<string>").cache(),
+        spark.createDataFrame([(f"t{t}", ["task", *kinds[t % 5 : t % 5 + 1]][: 1 + (t % 7 == 0)], t % 2 == 0) for t in range(tasks)], "task string, words array<string>, tests boolean").cache(),
+    )
+
+
+def expanded_slowly(fused, around, files, tasks):
+    fused, words, tasks = {(r.task, r.path): r.confidence for r in fused.collect()}, {r.path: r.words for r in files.collect()}, {r.task: r for r in tasks.collect()}
+    to = {}
+    for r in around.collect():
+        to.setdefault(r.src, []).append((r.dst, r.kind))
+    found = {}
+    for (task, src), c in fused.items():
+        for path, kind in to.get(src, []) if c >= 0.72 else []:
+            if (task, path) not in fused and (tasks[task].tests or not path.startswith("tests/") and not path.startswith("test/")):
+                found.setdefault((task, path), []).append((src, kind))
+    rows = set()
+    for (task, path), by in found.items():
+        kinds, seeds = {k for _, k in by}, sorted({s for s, _ in by})
+        if {*words[path]} & {*tasks[task].words} or "type" in kinds or ("import" in kinds and len(seeds) > 1):
+            rows.add((task, path, f"Graph expansion: local import/type edge from high-confidence seed(s) {', '.join(seeds[:3])}."))
+    return rows
+
+
+@pytest.mark.parametrize("few", [0, 3, 20, 10**6])
+def test_expanded_is_exact_around_hubs(spark, monkeypatch, few):
+    monkeypatch.setattr(S, "FEW_NEIGHBOURS", few)
+    g = graph(spark, 30, 120)
+    want = expanded_slowly(*g)
+    got = S.expanded(*g).collect()
+    assert len(got) == len(want) > 100 and {(r.task, r.path, r.reason) for r in got} == want
+
+
+def test_expanded_lists_no_neighbours_of_hubs(spark, monkeypatch):
+    monkeypatch.setattr(S, "FEW_NEIGHBOURS", 100)
+    fused = spark.createDataFrame([(f"t{t}", "hub", 0.9) for t in range(300)], "task string, path string, confidence double")
+    around = spark.createDataFrame([("hub", f"f{i}", "importer") for i in range(1000)], "src string, dst string, kind string")
+    files = spark.createDataFrame([(f"f{i}", [f"w{i}"]) for i in range(1000)], "path string, words array<string>")
+    tasks = spark.createDataFrame([(f"t{t}", [f"w{t}"], False) for t in range(300)], "task string, words array<string>, tests boolean")
+    rows, shuffled, _ = moved(spark, lambda: S.expanded(fused, around, files, tasks))
+    assert sorted((r.task, r.path) for r in rows) == sorted((f"t{i}", f"f{i}") for i in range(300))
+    assert shuffled < 30_000
