@@ -100,7 +100,7 @@ def expanded(fused: DataFrame, around: DataFrame, files: DataFrame, tasks: DataF
     # a shared word: of all sure paths
     asked = tasks.select("task", F.explode(F.array_distinct("words")).alias("word"))
     said = files.select("path", F.explode(F.array_distinct("words")).alias("word")).join(broadcast_if_small(stages.put(asked.select("word").distinct(), "words")), "word", "left_semi")
-    alike = sure.join(asked, "task").join(edges.join(said, "path"), ["src", "word"]).where(fits).select(*row)
+    alike = edges.join(said, "path").join(sure.join(asked, "task"), ["src", "word"]).where(fits).select(*row)
     # hubs beside paths that other sure paths lead to
     beside = light.select("task", "path").join(by_hub.select("task", "src"), "task").join(wide.select("src", "path", "kind"), ["src", "path"]).select(*row)
     # type links of hubs, and paths that two hubs lead to, one of them by an import or a type link
@@ -110,14 +110,16 @@ def expanded(fused: DataFrame, around: DataFrame, files: DataFrame, tasks: DataF
     shared = wide.join(other, "path").where(F.col("src") != F.col("other")).where(firmly | F.col("firmly")).drop("firmly")
     two = hub_sure.join(by_hub.select("task", F.col("src").alias("other")), "task").where(F.col("src") != F.col("other"))
     both = two.join(shared, ["src", "other"]).where(fits).select(*row)
-    met = alike.withColumn("match", F.lit(True))
-    for part in (light, beside, linked, both):
-        met = met.unionByName(part.withColumn("match", F.lit(False)))
-    g = met.groupBy("task", "path").agg(F.collect_set("kind").alias("kinds"), F.array_sort(F.collect_set("src")).alias("seeds"), F.bool_or("match").alias("match"))
+    none = F.lit(None).cast("string")
+    known = fused.select("task", "path", none.alias("src"), none.alias("kind"))
+    met = alike.withColumns({"match": F.lit(True), "known": F.lit(False)})
+    for part in (light, beside, linked, both, known):
+        met = met.unionByName(part.withColumns({"match": F.lit(False), "known": F.lit(part is known)}))
+    # rows come path by path, each with the same tasks: parted by path alone they are written in a fraction of the room
+    g = met.repartition("path").groupBy("task", "path").agg(F.collect_set("kind").alias("kinds"), F.array_sort(F.collect_set("src")).alias("seeds"), F.bool_or("match").alias("match"), F.bool_or("known").alias("known"))
     firm = F.col("match") | F.array_contains("kinds", "type") | (F.array_contains("kinds", "import") & (F.size("seeds") >= 2))
     reason = F.concat(F.lit("Graph expansion: local import/type edge from high-confidence seed(s) "), F.array_join(F.slice("seeds", 1, 3), ", "), F.lit("."))
-    new = g.where(firm).join(fused.select("task", "path").distinct(), ["task", "path"], "left_anti")
-    return new.select("task", "path", F.lit(EXPAND_AT).alias("confidence"), reason.alias("reason"))
+    return g.where(~F.col("known") & firm).select("task", "path", F.lit(EXPAND_AT).alias("confidence"), reason.alias("reason"))
 
 
 def stub_neighbours(ranked: DataFrame, links: DataFrame) -> DataFrame:
