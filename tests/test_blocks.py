@@ -5,6 +5,8 @@ from collections import Counter
 from hashlib import md5
 from math import log
 
+import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,6 +118,43 @@ def test_token_overlap_shuffles_no_pairs(worded):
     assert shuffled < 900 * 8 + 34 * 13 * 8 + 34 * 8 * 8
 
 
+@pytest.mark.parametrize("n", [1, 8, 2000])
+@pytest.mark.parametrize("paired", [0, 3, 16])
+def test_overlaps_of_a_block_are_exact(worded, monkeypatch, paired, n):
+    corpus, queries, _, _ = worded
+    for what, size in (("PAIRED_WORDS", paired), ("QUERIES_AT_ONCE", 15), ("PAIRS_AT_ONCE", 300), ("CANDIDATES_AT_ONCE", 50), ("FLAGS_AT_ONCE", 1000)):
+        monkeypatch.setattr(B, what, size)
+    asked = queries | {40: [], 41: ["w0", "w0"]}
+    tables = [pa.table({k: list(x), "tokens": pa.array(x.values(), pa.list_(pa.string()))}) for k, x in (("doc", corpus), ("qid", asked))]
+    got = {}
+    for r in B._overlaps(*tables, n).to_pylist():
+        got.setdefault(r["qid"], {})[r["doc"]] = r["common"]
+    want = {k: ranked({d: m for d, t in corpus.items() if (m := len({*t} & {*w}))}, n) for k, w in asked.items()}
+    assert {k: ranked(x, n) for k, x in got.items()} == {k: x for k, x in want.items() if x}
+
+
+def test_overlaps_of_none(worded):
+    corpus, queries, _, _ = worded
+    d, q = (pa.table({k: list(x), "tokens": pa.array(x.values(), pa.list_(pa.string()))}) for k, x in (("doc", corpus), ("qid", queries)))
+    assert not len(B._overlaps(d[:0], q, 8)) and not len(B._overlaps(d, q[:0], 8))
+
+
+def test_blocks_of_queries_are_bounded(worded, monkeypatch):
+    monkeypatch.setattr(B, "QUERY_BLOCK", 1)
+    _, queries, c, q = worded
+    sizes = B.in_blocks(c, q, lambda d, q: pa.table({"n": [len(d)], "q": [len(q)]}), "n bigint, q bigint", len(queries)).collect()
+    assert len(sizes) >= 20 and sum(r.q for r in sizes) == len(queries) and all(r.n == len(c.collect()) for r in sizes)
+
+
+def test_token_overlap_topk_asks_every_contract(spark, sf):
+    con = duckdb.connect()
+    for t in ("contracts", "predicted_writes"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    got = [tuple(r) for r in Q.token_overlap_topk(spark, sf).select("qid", "doc", "common", "rank").collect()]
+    assert {r[0] for r in got} == {r[0] for r in con.sql("SELECT DISTINCT contract_id FROM contracts WHERE contract_id IS NOT NULL").fetchall()}
+    assert sorted(got) == sorted(con.sql(f"SELECT qid, doc, common, rank FROM ({Q.SQL['token_overlap_topk']})").fetchall())
+
+
 @pytest.mark.parametrize("n", [1, 8, 2000])
 def test_bm25_is_exact_in_blocks(worded, monkeypatch, n):
     corpus, queries, c, q = worded
